@@ -36,12 +36,11 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .components import connected
-from .runtime import map_arrow, new_path, stored
+from .runtime import map_arrow, stored, sum_counts
 
 WORDS = 5
 NUM, DEN = 75, 100
 SKETCH_BITS = 20
-SLICES = 64
 BITS = 4096
 POSTINGS_EACH = 2_000_000
 HOT = 1 << 16
@@ -69,39 +68,21 @@ def shingle_sets(block: bt.Block) -> Iterator[np.ndarray]:
 
 def _sketch(docs: DataFrame) -> np.ndarray:
     """Counts of all documents' shingles by the first SKETCH_BITS bits of their hashes."""
-    width = (1 << SKETCH_BITS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint64)
         for batch in batches:
             for _, block in bt.blocks(batch.column(0), lower=True):
-                for s in shingle_sets(block):
-                    np.add.at(total, s >> np.uint64(64 - SKETCH_BITS), np.uint64(1))
+                if sets := list(shingle_sets(block)):
+                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).view(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint64)
         if total.any():
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "part", "counts"]
-            )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.uint64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.uint64)
-        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "slice int, part int, counts binary"
-    parts = map_arrow(docs.select("text"), count, schema)
-    n = docs.rdd.getNumPartitions()
-    while n > SLICES:  # by steps, so no task adds more than SLICES tables
-        parts = parts.withColumn("part", F.expr(f"part div {SLICES}")).groupBy("slice", "part").applyInArrow(add, schema)
-        n = -(-n // SLICES)
-    out = np.zeros((SLICES, width), np.uint64)
-    for row in parts.groupBy("slice").applyInArrow(add, schema).collect():  # SLICES rows
-        out[row["slice"]] = np.frombuffer(row["counts"], np.uint64)
-    return out.ravel()
-
-
-def _stats(docs: DataFrame, ranks, id_name: str = "doc_id") -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    out = sum_counts(map_arrow(docs.select("text"), count, "part int, counts binary"), docs.rdd.getNumPartitions())
+    return out if len(out) else np.zeros(1 << SKETCH_BITS, np.uint64)
+
+
+def _stats(docs: DataFrame, ranks) -> DataFrame:
     """(doc_id, n, h1, h2, prefix) of each document; prefix is null for sets that the task has seen before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +108,7 @@ def _stats(docs: DataFrame, ranks, id_name: str = "doc_id") -> DataFrame:
                     names=["doc_id", "n", "h1", "h2", "prefix"],
                 )
 
-    return map_arrow(docs.select(docs[id_name].cast("long").alias("doc_id"), "text"), run, "doc_id long, n int, h1 long, h2 long, prefix binary")
+    return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, n int, h1 long, h2 long, prefix binary")
 
 
 def _band(n: np.ndarray) -> np.ndarray:

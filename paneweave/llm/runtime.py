@@ -6,11 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with texts of a few KB a batch stays at a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch at most; a single larger row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Tables of counts are added up in so many slices, and so many tables at a time.
+SLICES = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,4 +44,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
+
+
+def sum_counts(tables: DataFrame, parts: int) -> np.ndarray:
+    """The sum of tables of 64-bit counts, one row (part, counts) for each task; empty without rows.
+
+    The tables have one size, a multiple of SLICES entries.  Slices are added by steps, so no task
+    adds more than SLICES slices and the driver gets one table, however many tasks there were.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("counts")], axis=0, dtype=np.uint64)
+        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "slice int, part int, counts binary"
+    width = f"(length(counts) div {SLICES})"
+    rows = tables.select(F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), "part", "counts")
+    rows = rows.withColumn("counts", F.expr(f"substring(counts, cast(slice * {width} as int) + 1, cast({width} as int))"))
+    while parts > SLICES:
+        rows = rows.withColumn("part", F.expr(f"cast(part div {SLICES} as int)")).groupBy("slice", "part").applyInArrow(add, schema)
+        parts = -(-parts // SLICES)
+    found = rows.groupBy("slice").applyInArrow(add, schema).collect()  # SLICES rows
+    return np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in sorted(found, key=lambda r: r["slice"])] or [np.zeros(0, np.uint64)])
