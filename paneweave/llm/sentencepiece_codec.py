@@ -143,8 +143,9 @@ class Codec:
         #: words can go through alone unless the model looks at white space beyond them or merges across it
         self.alone = not self.model.collapse_spaces and not any(MARK in p.lstrip(MARK) for p, _, _ in self.model.pieces)
         self.made = made
-        self.words = Wordwise(lambda words: [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)], prefix=" " if self.model.dummy_prefix else "")
         table = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.model.pieces]
+        sizes = np.array([0 if t == UNKNOWN else len(x) for (_, _, t), x in zip(self.model.pieces, table, strict=True)], np.int64)
+        self.words = Wordwise(lambda words: [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)], sizes, prefix=" " if self.model.dummy_prefix else "")
         self._bytes = np.frombuffer(b"".join(table), np.uint8)
         self._size = np.fromiter(map(len, table), np.int64, len(table))
         self._start = np.cumsum(self._size) - self._size

@@ -79,7 +79,7 @@ def unpack(block: bytes | memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class _Encoders:
-    """One tokenizer and its remembered words for each Python worker."""
+    """One byte-level tokenizer and its remembered words for each Python worker."""
 
     held: dict[str, tuple[Wordwise, int]] = {}
 
@@ -90,7 +90,11 @@ class _Encoders:
 
             made = Tokenizer.from_file(path)
             made.encode_special_tokens = True
-            cls.held[path] = Wordwise(lambda words: [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)]), made.get_vocab_size()
+            # a byte-level vocabulary writes each byte as one character, and splits letters from punctuation
+            sizes = np.zeros(made.get_vocab_size(), np.int64)
+            for token, number in made.get_vocab().items():
+                sizes[number] = len(token)
+            cls.held[path] = Wordwise(lambda words: [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)], sizes, punctuation=True), len(sizes)
         return cls.held[path]
 
 

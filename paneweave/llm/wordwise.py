@@ -4,7 +4,8 @@ Byte-pair encoders treat a text as a chain of stretches that never share a token
 between two printable characters always begins a new stretch, in byte-level encoders as in those that
 write the space as a marker.  So a block of texts is cut at such spaces, each distinct stretch goes
 through the tokenizer once, and the ids are laid out again in the order of the texts.  Known stretches
-are remembered up to a bound.
+are remembered up to a bound.  Stretches that begin with a space are given to the tokenizer many at a
+time, in one string, and its ids are dealt out again by the bytes that each id stands for.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import pyarrow as pa
 
 from . import bytetext as bt
 
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 ENCODE_BYTES = 8 << 20
+TOGETHER = 250
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
@@ -25,10 +27,18 @@ _PLAIN[0x21:0x7F] = True
 _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
 _LEAD[[0xCC, 0xCD, 0xD2, 0xD6, 0xD7, 0xD8, 0xD9, 0xDB, 0xDC, 0xDD, 0xDE, 0xDF]] = False
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
+_PUNCTUATION = _PLAIN & ~_ASCII_LETTER
+_PUNCTUATION[0x30:0x3A] = False
 
 
-def cuts(block: bt.Block) -> np.ndarray:
-    """Where stretches begin: at each text's first byte and at spaces between two printable characters."""
+def cuts(block: bt.Block, punctuation: bool = False) -> np.ndarray:
+    """Where stretches begin: at each text's first byte and at spaces between two printable characters.
+
+    With ``punctuation`` also at ASCII punctuation after an ASCII letter, where encoders that split
+    letters from other characters begin anew.
+    """
     data = block.data
     begins = np.zeros(len(data) + 1, bool)
     if len(data) > 2:
@@ -36,17 +46,46 @@ def cuts(block: bt.Block) -> np.ndarray:
         before[1:] |= _LEAD[data[:-1]]
         after = _PLAIN[data] | _LEAD[data]
         begins[1:-2] = (data[1:-1] == 0x20) & before[:-2] & after[2:]
+    if punctuation and len(data) > 1:
+        begins[1:-1] |= _PUNCTUATION[data[1:]] & _ASCII_LETTER[data[:-1]]
     begins[block.offsets] = True
     return np.flatnonzero(begins[:-1])
 
 
+def _joins(word: str) -> bool:
+    """Whether a stretch may stand between others in one string: a space, then printable to the end."""
+    return len(word) > 1 and word[0] == " " and ("!" <= word[1] <= "~" or "\u00c0" <= word[1] <= "\u024f") and ("!" <= word[-1] <= "~" or "\u00c0" <= word[-1] <= "\u024f")
+
+
 class Wordwise:
-    """Encodes blocks of texts; ``encode`` gives the ids of each of a list of strings."""
+    """Encodes blocks of texts.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], prefix: str = ""):
-        self.encode, self.prefix = encode, prefix
+    ``encode`` gives the ids of each of a list of strings, ``bytes_of`` the number of text bytes that
+    each id stands for (0 where it depends on the text).
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bytes_of: np.ndarray, prefix: str = "", punctuation: bool = False):
+        self.encode, self.bytes_of, self.prefix, self.punctuation = encode, bytes_of, prefix, punctuation
         self._forget()
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
+        if len(words) > 1:
+            texts = ["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+            ids = self.encode(texts)
+            flat = np.fromiter((x for y in ids for x in y), np.int32, sum(map(len, ids)))
+            ends = np.cumsum(self.bytes_of[flat])
+            wanted = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+            at = np.searchsorted(ends, wanted)
+            if len(ends) and ends[-1] == wanted[-1] and np.array_equal(ends[at], wanted) and self.bytes_of[flat].all():
+                return flat, np.diff(at + 1, prepend=0)
+        return self._each(words)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum())), sizes
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
@@ -58,16 +97,16 @@ class Wordwise:
         known = self.known
         fresh = list(dict.fromkeys(w for w in words if w not in known))  # with a prefix a word may come twice
         if fresh:
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
-                ids = self.encode(part)
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                total, at = int(sizes.sum()), len(known)
+            together = [w for w in fresh if _joins(w)]
+            alone = [w for w in fresh if not _joins(w)]
+            for part, call in [*((together[i : i + 10_000], self._encode) for i in range(0, len(together), 10_000)), *((alone[i : i + 10_000], self._each) for i in range(0, len(alone), 10_000))]:
+                ids, sizes = call(part)
+                total, at = len(ids), len(known)
                 while self.used + total > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
                 while at + len(part) > len(self.start):
                     self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-                self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.int32, total)
+                self.flat[self.used : self.used + total] = ids
                 self.start[at : at + len(part)] = self.used + np.cumsum(sizes) - sizes
                 self.size[at : at + len(part)] = sizes
                 self.used += total
@@ -76,7 +115,7 @@ class Wordwise:
 
     def block(self, block: bt.Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        begins = cuts(block)
+        begins = cuts(block, self.punctuation)
         if not len(begins):
             return np.zeros(0, np.int32), np.zeros(block.n, np.int64)
         ends = np.append(begins[1:], len(block.data))
