@@ -36,9 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: its lineage ends there, on any executor."""
+    """Write a table to the shared folder and read it again: its lineage ends there, on any executor.
+
+    The shuffle files of the steps before are not needed any more; the driver's collection of garbage
+    lets Spark's cleaner drop them.
+    """
     path = new_path(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
