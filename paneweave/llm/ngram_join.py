@@ -12,9 +12,11 @@ class and are joined as one.  The rest runs in these steps:
 3. Tiles: the classes that share a shingle and whose sizes fall in one band or in two neighbouring
    ones, as sizes beyond t differ by no more.  Tiles of one class go.
 4. In rounds, one class of each tile, the probe, is compared with all others of its tile that are
-   not in its component yet; then the probe leaves the tile.  Tiles within one component go.  When
-   the pairs left are few beside the tiles' rows, all are compared.  So every pair of a tile that is
-   not joined by other links is compared, while a family of n near copies costs a few times n pairs.
+   not in its component yet; then the probe leaves the tile.  Tiles within one component go.  The probe
+   is the class that shares the most shingles with others, weighed over all its tiles: in a family of
+   near copies that is the one closest to the original, which links with nearly all.  When the pairs left
+   are no more than the tiles' rows, all are compared.  So every pair of a tile that is not joined by
+   other links is compared, while a family of n near copies costs a few times n pairs.
 5. A pair is compared first by hashed bitmaps of BITS bits: the bits that differ bound the overlap
    from above.  Those that pass are compared by exact intersection of the sorted arrays.
 
@@ -82,6 +84,12 @@ def _sketch(docs: DataFrame) -> np.ndarray:
     return out if len(out) else np.zeros(1 << SKETCH_BITS, np.uint64)
 
 
+def _set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set, as signed numbers."""
+    both = bt.mix(s).sum(dtype=np.uint64), bt.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    return int(both[0].view(np.int64)), int(both[1].view(np.int64))
+
+
 def _stats(docs: DataFrame, ranks) -> DataFrame:
     """(doc_id, n, h1, h2, prefix) of each document; prefix is null for sets that the task has seen before."""
 
@@ -93,10 +101,10 @@ def _stats(docs: DataFrame, ranks) -> DataFrame:
                 n, h1, h2, prefixes = [], [], [], []
                 for s in shingle_sets(block):
                     size = len(s)
-                    a, b = int(bt.mix(s).sum(dtype=np.uint64)), int(bt.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+                    a, b = _set_hashes(s)
                     n.append(size)
-                    h1.append(a - (1 << 64) if a >> 63 else a)
-                    h2.append(b - (1 << 64) if b >> 63 else b)
+                    h1.append(a)
+                    h2.append(b)
                     if not size or (size, a, b) in seen:
                         prefixes.append(None)
                         continue
@@ -180,20 +188,30 @@ def _tiles(held: DataFrame, ranks, hot, parts: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(cls, bits, set): hashed bitmap and sorted array of each document given as (cls, text)."""
+    """(cls, bits, set): hashed bitmap and sorted array of each class, from rows (cls, text, h1, h2).
+
+    Of rows that share a doc_id those with another set are passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            classes = batch.column(0).to_pylist()
+            wanted = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
             for at, block in bt.blocks(batch.column(1), lower=True):
-                bits, sets = [], []
-                for s in shingle_sets(block):
+                ids, bits, sets = [], [], []
+                for k, s in enumerate(shingle_sets(block), at):
+                    if classes[k] in seen or _set_hashes(s) != wanted[k]:
+                        continue
+                    seen.add(classes[k])
                     flags = np.zeros(BITS, bool)
                     flags[(bt.mix(s) % np.uint64(BITS)).astype(np.int64)] = True
+                    ids.append(classes[k])
                     bits.append(np.packbits(flags).tobytes())
                     sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, block.n), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "bits", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "bits", "set"])
 
-    return map_arrow(docs.select("cls", "text"), run, "cls long, bits binary, set binary")
+    return map_arrow(docs.select("cls", "text", "h1", "h2"), run, "cls long, bits binary, set binary")
 
 
 def bitmap_bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -265,33 +283,35 @@ def join(docs: DataFrame) -> DataFrame:
     # the holder's rows: of repeated rows one is enough, and tiles drop the others
     held = stats.where("prefix is not null").join(classes.select("h1", "h2", "n", F.col("holder").alias("doc_id"), "cls"), ["doc_id", "h1", "h2", "n"]).select("cls", "n", "prefix", "doc_id")
     tiles = stored(_tiles(held, ranks, hot, max(8, int(total) // POSTINGS_EACH + 1)), "tiles")
-    wanted = tiles.select("cls").distinct().join(classes.select("cls", "holder"), "cls")
-    sets = stored(_sets(docs.select(docs["doc_id"].cast("long").alias("holder"), "text").join(wanted, "holder").dropDuplicates(["cls"]).select("cls", "text")), "sets")
+    weights = tiles.groupBy("cls").agg(F.count("*").alias("w"))
+    tiles = stored(tiles.join(weights, "cls"), "tiles")
+    wanted = tiles.select("cls").distinct().join(classes.select("cls", "holder", "h1", "h2"), "cls")
+    sets = stored(_sets(docs.select(docs["doc_id"].cast("long").alias("holder"), "text").join(wanted, "holder")), "sets")
 
     labels: DataFrame | None = None
     for turn in range(MAX_ROUNDS):
-        now = tiles if labels is None else tiles.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        if labels is None:
-            now = now.withColumn("comp", F.col("cls"))
-        heads = now.groupBy("tile").agg(F.min("comp").alias("main"), F.max("comp").alias("other"), F.count("*").alias("rows"), F.min(F.struct("cls", "n", "comp")).alias("head"))
-        heads = heads.where("main < other")
+        now = tiles.withColumn("comp", F.col("cls")) if labels is None else tiles.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        heaviest = F.max_by(F.struct("cls", "n", "comp"), F.struct("w", -F.col("cls"))).alias("head")
+        heads = now.groupBy("tile").agg(heaviest, F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).where("least < most")
+        last = False
         if turn:
-            now = stored(now.join(heads.select("tile", "main", "rows"), "tile"), "tiles")
+            now = stored(now.join(heads.select("tile", F.col("head.comp").alias("main"), "rows"), "tile"), "tiles")
             left = now.agg(F.count("*"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("rows")))).first()
             if not left[0]:
                 break
-            if turn == MAX_ROUNDS - 1 or (left[1] or 0) <= 4 * left[0]:
-                rest = now.where("comp != main").select("tile", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-                pairs = rest.join(now.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main"), "tile")
-                pairs = pairs.where(f"ca != cb and (cb = main or a < b) and {_FITS}").select("a", "b", "na", "nb").distinct()
-                labels = _relabel(labels, stored(_links(pairs, sets), "links"))
-                break
-            heads = now.where("comp != main").groupBy("tile").agg(F.min(F.struct("cls", "n", "comp")).alias("head"))
-        probes = heads.select("tile", F.col("head.cls").alias("a"), F.col("head.n").alias("na"), F.col("head.comp").alias("ca"))
-        pairs = now.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(probes, "tile")
+            last = turn == MAX_ROUNDS - 1 or (left[1] or 0) <= left[0]
+            heads = now.where("comp != main").groupBy("tile").agg(heaviest)
+        if last:
+            probes = now.where("comp != main").select("tile", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+            pairs = now.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main").join(probes, "tile").where("cb = main or a < b")
+        else:
+            probes = heads.select("tile", F.col("head.cls").alias("a"), F.col("head.n").alias("na"), F.col("head.comp").alias("ca"))
+            pairs = now.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(probes, "tile")
         pairs = pairs.where(f"ca != cb and {_FITS}").select("a", "b", "na", "nb").distinct()
         labels = _relabel(labels, stored(_links(pairs, sets), "links"))
-        tiles = stored(now.select("tile", "cls", "n").join(probes.select("tile", F.col("a").alias("cls")), ["tile", "cls"], "left_anti"), "tiles")
+        if last:
+            break
+        tiles = stored(now.select("tile", "cls", "n", "w").join(probes.select("tile", F.col("a").alias("cls")), ["tile", "cls"], "left_anti"), "tiles")
 
     known = classes.join(labels, "cls", "left").select("h1", "h2", "n", F.coalesce("comp", "cls").alias("component_id"))
     out = stats.join(known, ["h1", "h2", "n"], "left")
