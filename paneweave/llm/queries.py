@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, ngram_join, quality_net, quality_rules, sentencepiece_codec, sharding, token_files, toxicity
+from . import decontaminate, html_extract, line_dedup, ngram_join, oracles, quality_net, quality_rules, sentencepiece_codec, sharding, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,4 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_sharding": oracles.SHARDING,
+    "op5_decontamination": oracles.DECONTAMINATION,
+    "op7_quality_rules": oracles.QUALITY_RULES,
+    "op9_ngram_jaccard_join": oracles.NGRAM_JOIN,
+}
