@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_arrow, stored
+from .runtime import discard, map_arrow, stored
 
 LOCAL_LINKS = 500_000
 
@@ -57,7 +57,8 @@ def connected(edges: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
         return map_arrow(now.coalesce(1), _unite, "node long, root long")
     mark = None
     while True:
-        now = stored(_star(_star(now, True), False), "edges")
+        before, now = now, stored(_star(_star(now, True), False), "edges")
+        discard(before)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == mark or not found[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

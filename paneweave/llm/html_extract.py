@@ -62,7 +62,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     def flush() -> None:
         nonlocal linked, total
         if held:
-            if text := " ".join(references.unescape("".join(held)).split()):
+            if text := " ".join("".join(held).split()):
                 out.append((tuple(x[1] for x in stack if x[0] not in _INLINE), text, linked / max(total, 1)))
             held.clear()
         linked = total = 0
@@ -81,7 +81,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         tag = _TAG.search(page, at)
         to = tag.start() if tag else size
         if to > at:
-            held.append(page[at:to])
+            held.append(references.unescape(page[at:to]))
             total += to - at
             linked += (to - at) * (in_link > 0)
         if not tag:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .components import connected
-from .runtime import map_arrow, stored, sum_counts
+from .runtime import discard, map_arrow, stored, sum_counts
 
 WORDS = 5
 NUM, DEN = 75, 100
@@ -284,7 +284,8 @@ def join(docs: DataFrame) -> DataFrame:
     held = stats.where("prefix is not null").join(classes.select("h1", "h2", "n", F.col("holder").alias("doc_id"), "cls"), ["doc_id", "h1", "h2", "n"]).select("cls", "n", "prefix", "doc_id")
     tiles = stored(_tiles(held, ranks, hot, max(8, int(total) // POSTINGS_EACH + 1)), "tiles")
     weights = tiles.groupBy("cls").agg(F.count("*").alias("w"))
-    tiles = stored(tiles.join(weights, "cls"), "tiles")
+    bare, tiles = tiles, stored(tiles.join(weights, "cls"), "tiles")
+    discard(bare)
     wanted = tiles.select("cls").distinct().join(classes.select("cls", "holder", "h1", "h2"), "cls")
     sets = stored(_sets(docs.select(docs["doc_id"].cast("long").alias("holder"), "text").join(wanted, "holder")), "sets")
 
@@ -311,7 +312,9 @@ def join(docs: DataFrame) -> DataFrame:
         labels = _relabel(labels, stored(_links(pairs, sets), "links"))
         if last:
             break
-        tiles = stored(now.select("tile", "cls", "n", "w").join(probes.select("tile", F.col("a").alias("cls")), ["tile", "cls"], "left_anti"), "tiles")
+        before, tiles = tiles, stored(now.select("tile", "cls", "n", "w").join(probes.select("tile", F.col("a").alias("cls")), ["tile", "cls"], "left_anti"), "tiles")
+        discard(before)
+        discard(now)
 
     known = classes.join(labels, "cls", "left").select("h1", "h2", "n", F.coalesce("comp", "cls").alias("component_id"))
     out = stats.join(known, ["h1", "h2", "n"], "left")
