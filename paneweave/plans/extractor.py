@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ class Extractor:
     def layout(self, decoded: DataFrame) -> DataFrame:
         """Elements of the boxes found in images (image_id, width, height, gray); an empty layout keeps its root."""
         config = self.config.layout
-        traced = imaging.trace_contours(decoded, config)
+        # several joins read the contours; they are traced once
+        traced = imaging.trace_contours(decoded, config).persist(StorageLevel.MEMORY_AND_DISK)
         judged = traced.withColumn("reason", classify.contour_reason(F.col("bounds"), F.col("border_type") == "hole", config))
         nodes = judged.select("image_id", F.col("contour_id").alias("id"), "parent_id", "bounds", (F.col("reason") == "kept").alias("kept"))
         linked = hierarchy.accept_parents(nodes, hierarchy.nearest_kept_ancestor(nodes), config=config)

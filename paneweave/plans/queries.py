@@ -429,3 +429,73 @@ def mask_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).where(reason != "kept").select("id", "bounds.width", "bounds.height")
 
 
+
+
+def _screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small grey image for each part: two boxes, one in the other (image_id, width, height, gray)."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, size in zip(frame["p_partkey"], frame["p_size"], strict=True):
+                gray = np.full((64, 96), 255, np.uint8)
+                for x, y, w, h in ((8 + k % 5, 6, 30 + size, 44), (16 + k % 5, 14, 12 + size // 2, 20)):
+                    gray[y, x : x + w] = gray[y + h - 1, x : x + w] = gray[y : y + h, x] = gray[y : y + h, x + w - 1] = 0
+                out.append((str(k), 96, 64, gray.tobytes()))
+            yield pd.DataFrame(out, columns=["image_id", "width", "height", "gray"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "image_id string, width int, height int, gray binary")
+
+
+@query()
+def image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screens through PNG bytes and back."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    from ..imaging import png
+    from ..sources.images import decode_bytes
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"image_id": frame["image_id"], "content": [png.encode(np.frombuffer(g, np.uint8).reshape(h, w)) for g, h, w in zip(frame["gray"], frame["height"], frame["width"], strict=True)]})
+
+    rows = decode_bytes(_screens(spark, sf_dir).mapInPandas(run, "image_id string, content binary"))
+    return rows.select("image_id", "width", "height", F.crc32("gray").alias("digest"), "error")
+
+
+@query()
+def canny_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contours of the screens with the reason that keeps or drops each."""
+    from ..imaging.operators import trace_contours
+
+    rows = trace_contours(_screens(spark, sf_dir))
+    return rows.select("image_id", "contour_id", "parent_id", "border_type", *flat("bounds"), classify.contour_reason(F.col("bounds"), F.col("border_type") == "hole").alias("reason"))
+
+
+def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's words on the layout of its boxes, as elements with a root."""
+    ws = word_rows(spark, sf_dir).select(F.col("image_id").cast("string").alias("image_id"), "word_id", "text", "bounds", F.col("confidence").cast("float").alias("confidence"))
+    screens = ws.select("image_id").distinct()
+    roots = screens.select("image_id", F.expr("cast(array() as array<int>)").alias("path"), F.lit("root").alias("kind"), g.bounds(F.lit(0), F.lit(0), F.lit(1920), F.lit(180)).alias("bounds"))
+    return words.attach_words(hierarchy.as_elements(roots), ws)
+
+
+@query()
+def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sinks.documents import results_json
+
+    return results_json(_attached(spark, sf_dir))
+
+
+@query()
+def skeleton_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sinks.documents import skeleton_html as page
+
+    return page(_attached(spark, sf_dir))

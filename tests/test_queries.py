@@ -42,3 +42,19 @@ def test_query_equals_its_sql(spark, oracle, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_without_sql(spark):
+    import json
+
+    sf = str(SF)
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    decoded = QUERIES["image_decode"](spark, sf)
+    assert decoded.count() == parts and decoded.where("error is not null").count() == 0
+    traced = QUERIES["canny_contours"](spark, sf).where("reason = 'kept'")
+    assert traced.select("image_id").distinct().count() == parts
+    orders = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    rows = QUERIES["nested_json"](spark, sf).collect()
+    assert len(rows) == orders and all(json.loads(r["json"])["root"]["kind"] == "root" for r in rows)
+    pages = QUERIES["skeleton_html"](spark, sf).collect()
+    assert len(pages) == orders and all('class="node kind-text"' in r["html"] for r in pages)
