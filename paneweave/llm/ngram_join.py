@@ -10,7 +10,9 @@ class and are joined as one.  The rest runs in these steps:
    Shingles whose counter is very large may be held by very many classes; they are spread over
    further partitions by a salt, so no partition holds an unbounded group.
 3. Tiles: the classes that share a shingle and whose sizes fall in one band or in two neighbouring
-   ones, as sizes beyond t differ by no more.  Tiles of one class go.
+   ones, as sizes beyond t differ by no more.  Sets that meet the threshold have at most n - o elements
+   before the first one in common, with o the overlap that their sizes ask for; a pair is taken in a tile
+   only if both have the shared shingle that early.  Tiles without such a pair go.
 4. In rounds, one class of each tile, the probe, is compared with all others of its tile that are
    not in its component yet; then the probe leaves the tile.  Tiles within one component go.  The probe
    is the class that shares the most shingles with others, weighed over all its tiles: in a family of
@@ -44,6 +46,7 @@ WORDS = 5
 NUM, DEN = 75, 100
 SKETCH_BITS = 20
 BITS = 4096
+FILTER_BITS = 24
 POSTINGS_EACH = 2_000_000
 HOT = 1 << 16
 FLUSH = 2_000_000
@@ -125,25 +128,25 @@ def _band(n: np.ndarray) -> np.ndarray:
 
 
 def _tiles(held: DataFrame, ranks, hot, parts: int) -> DataFrame:
-    """(tile, cls, n): the classes with a posted shingle in common, by bands of size."""
+    """(tile, cls, n, p): the classes with a posted shingle in common, by bands of size, and its place in each."""
     spread = max(16, parts // 4)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, sizes, count = [], [], [], 0
+        keys, ids, sizes, places, count = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            key, cls, n = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+            key, cls, n, place = (np.concatenate(x) for x in (keys, ids, sizes, places))
             part = (bt.mix(key + np.uint64(7)) % np.uint64(parts)).astype(np.int32)
             often = hot.value[key >> np.uint64(64 - SKETCH_BITS)]
             if often.any():
                 part[often] = parts + ((bt.mix(key[often]) ^ bt.mix(cls[often].astype(np.uint64))) % np.uint64(spread)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             edge = np.flatnonzero(np.diff(part[order], prepend=-1))
-            key, cls, n, part = key[order], cls[order], n[order], part[order]
+            key, cls, n, place, part = (x[order] for x in (key, cls, n, place, part))
             stop = np.append(edge[1:], len(part))
-            keys.clear(), ids.clear(), sizes.clear()
+            keys.clear(), ids.clear(), sizes.clear(), places.clear()
             pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge, stop, strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(part[edge], pa.int32()), pack(key), pack(cls), pack(n)], names=["part", "keys", "ids", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(part[edge], pa.int32()), pack(key), pack(cls), pack(n), pack(place)], names=["part", "keys", "ids", "sizes", "places"])
 
         for batch in batches:
             for cls, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -151,6 +154,7 @@ def _tiles(held: DataFrame, ranks, hot, parts: int) -> DataFrame:
                 keys.append(key)
                 ids.append(np.full(len(key), cls, np.int64))
                 sizes.append(np.full(len(key), n, np.int32))
+                places.append(np.arange(len(key), dtype=np.int32))
                 count += len(key)
             if count >= FLUSH:
                 yield flush()
@@ -160,58 +164,86 @@ def _tiles(held: DataFrame, ranks, hot, parts: int) -> DataFrame:
 
     def gather(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
-        key, cls, n = join("keys", np.uint64), join("ids", np.int64), join("sizes", np.int32)
-        if table.column("part")[0].as_py() < parts:
+        key, cls, n, p = join("keys", np.uint64), join("ids", np.int64), join("sizes", np.int32), join("places", np.int32)
+        whole = table.column("part")[0].as_py() < parts
+        if whole:
             order = np.lexsort((cls, key))
-            key, cls, n = key[order], cls[order], n[order]
-            same = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])
-            keep = np.concatenate([[True], ~same])
-            key, cls, n = key[keep], cls[keep], n[keep]
+            key, cls, n, p = key[order], cls[order], n[order], p[order]
+            keep = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
+            key, cls, n, p = key[keep], cls[keep], n[keep], p[keep]
             shared = np.zeros(len(key), bool)
             shared[1:] = key[1:] == key[:-1]
             shared[:-1] |= shared[1:]
-            key, cls, n = key[shared], cls[shared], n[shared]
+            key, cls, n, p = key[shared], cls[shared], n[shared], p[shared]
         band = _band(n)
         tile = np.concatenate([bt.mix(key + (band + d).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) for d in (0, -1)]).view(np.int64)
-        cls, n, own = np.tile(cls, 2), np.tile(n, 2), np.repeat([1, 0], len(cls)).astype(np.int32)
-        if len(tile) and table.column("part")[0].as_py() < parts:
+        # the smaller of a pair is of the tile's own band and has the shingle among its first n - 2 t n / (1 + t)
+        early = (NUM + DEN) * (n - p).astype(np.int64) >= 2 * NUM * n.astype(np.int64)
+        smaller = np.concatenate([early, np.zeros(len(cls), bool)]).astype(np.int32)
+        cls, n, p = np.tile(cls, 2), np.tile(n, 2), np.tile(p, 2)
+        if len(tile) and whole:
             order = np.argsort(tile, kind="stable")
-            tile, cls, n, own = tile[order], cls[order], n[order], own[order]
+            tile, cls, n, p, smaller = tile[order], cls[order], n[order], p[order], smaller[order]
             edge = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
             size = np.diff(np.append(edge, len(tile)))
-            good = np.repeat((size > 1) & (np.add.reduceat(own, edge) > 0), size)  # one of its own band at least
-            tile, cls, n, own = tile[good], cls[good], n[good], own[good]
-        return pa.table({"tile": pa.array(tile, pa.int64()), "cls": pa.array(cls, pa.int64()), "n": pa.array(n, pa.int32())})
+            good = np.repeat((size > 1) & (np.add.reduceat(smaller, edge) > 0), size)
+            tile, cls, n, p = tile[good], cls[good], n[good], p[good]
+        return pa.table({"tile": pa.array(tile, pa.int64()), "cls": pa.array(cls, pa.int64()), "n": pa.array(n, pa.int32()), "p": pa.array(p, pa.int32())})
 
-    posted = map_arrow(held.select("cls", "n", "prefix"), post, "part int, keys binary, ids binary, sizes binary")
-    return posted.groupBy("part").applyInArrow(gather, "tile long, cls long, n int")
+    posted = map_arrow(held.select("cls", "n", "prefix"), post, "part int, keys binary, ids binary, sizes binary, places binary")
+    return posted.groupBy("part").applyInArrow(gather, "tile long, cls long, n int, p int")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(cls, bits, set): hashed bitmap and sorted array of each class, from rows (cls, text, h1, h2).
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits in which the hashes of all ids are set."""
 
-    Of rows that share a doc_id those with another set are passed over.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            flags[_filter_place(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in map_arrow(ids.coalesce(8), run, "bits binary").toLocalIterator():  # 8 bitmaps at most
+        out |= np.frombuffer(row[0], np.uint8)
+    return out
+
+
+def _filter_place(ids: np.ndarray) -> np.ndarray:
+    return (bt.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).view(np.int64)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, bits, set): hashed bitmap and sorted array of each class (cls, holder, h1, h2).
+
+    Texts aren't shuffled: a bitmap of fixed size tells most documents that aren't wanted, and a join of
+    the sets leaves the others out, as well as rows that share a wanted doc_id but have another set.
     """
+    marked = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted.select("holder")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
-            classes = batch.column(0).to_pylist()
-            wanted = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            ids = batch.column(0).fill_null(0).to_numpy()
+            place = _filter_place(ids)
+            known = (marked.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+            batch = batch.filter(pa.array(known & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            holders = batch.column(0).to_pylist()
             for at, block in bt.blocks(batch.column(1), lower=True):
-                ids, bits, sets = [], [], []
+                rows: list[tuple] = []
                 for k, s in enumerate(shingle_sets(block), at):
-                    if classes[k] in seen or _set_hashes(s) != wanted[k]:
+                    name = (holders[k], *_set_hashes(s))
+                    if name in seen or not len(s):
                         continue
-                    seen.add(classes[k])
+                    seen.add(name)
                     flags = np.zeros(BITS, bool)
                     flags[(bt.mix(s) % np.uint64(BITS)).astype(np.int64)] = True
-                    ids.append(classes[k])
-                    bits.append(np.packbits(flags).tobytes())
-                    sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "bits", "set"])
+                    rows.append((*name, np.packbits(flags).tobytes(), s.tobytes()))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),) * 2, strict=True)], names=["holder", "h1", "h2", "bits", "set"])
 
-    return map_arrow(docs.select("cls", "text", "h1", "h2"), run, "cls long, bits binary, set binary")
+    made = map_arrow(docs.select(docs["doc_id"].cast("long"), "text"), run, "holder long, h1 long, h2 long, bits binary, set binary")
+    return made.join(wanted, ["holder", "h1", "h2"]).select("cls", "bits", "set")
 
 
 def bitmap_bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -264,7 +296,7 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(new), "labels")
 
 
-_FITS = f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)"
+_FITS = f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb) and {NUM + DEN} * least(na - pa, nb - pb) >= {NUM} * (na + nb)"
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -287,12 +319,12 @@ def join(docs: DataFrame) -> DataFrame:
     bare, tiles = tiles, stored(tiles.join(weights, "cls"), "tiles")
     discard(bare)
     wanted = tiles.select("cls").distinct().join(classes.select("cls", "holder", "h1", "h2"), "cls")
-    sets = stored(_sets(docs.select(docs["doc_id"].cast("long").alias("holder"), "text").join(wanted, "holder")), "sets")
+    sets = stored(_sets(docs, wanted), "sets")
 
     labels: DataFrame | None = None
     for turn in range(MAX_ROUNDS):
         now = tiles.withColumn("comp", F.col("cls")) if labels is None else tiles.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        heaviest = F.max_by(F.struct("cls", "n", "comp"), F.struct("w", -F.col("cls"))).alias("head")
+        heaviest = F.max_by(F.struct("cls", "n", "p", "comp"), F.struct("w", -F.col("cls"))).alias("head")
         heads = now.groupBy("tile").agg(heaviest, F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).where("least < most")
         last = False
         if turn:
@@ -303,16 +335,16 @@ def join(docs: DataFrame) -> DataFrame:
             last = turn == MAX_ROUNDS - 1 or (left[1] or 0) <= left[0]
             heads = now.where("comp != main").groupBy("tile").agg(heaviest)
         if last:
-            probes = now.where("comp != main").select("tile", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            pairs = now.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main").join(probes, "tile").where("cb = main or a < b")
+            probes = now.where("comp != main").select("tile", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("ca"))
+            pairs = now.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"), "main").join(probes, "tile").where("cb = main or a < b")
         else:
-            probes = heads.select("tile", F.col("head.cls").alias("a"), F.col("head.n").alias("na"), F.col("head.comp").alias("ca"))
-            pairs = now.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(probes, "tile")
+            probes = heads.select("tile", F.col("head.cls").alias("a"), F.col("head.n").alias("na"), F.col("head.p").alias("pa"), F.col("head.comp").alias("ca"))
+            pairs = now.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb")).join(probes, "tile")
         pairs = pairs.where(f"ca != cb and {_FITS}").select("a", "b", "na", "nb").distinct()
         labels = _relabel(labels, stored(_links(pairs, sets), "links"))
         if last:
             break
-        before, tiles = tiles, stored(now.select("tile", "cls", "n", "w").join(probes.select("tile", F.col("a").alias("cls")), ["tile", "cls"], "left_anti"), "tiles")
+        before, tiles = tiles, stored(now.select("tile", "cls", "n", "p", "w").join(probes.select("tile", F.col("a").alias("cls")), ["tile", "cls"], "left_anti"), "tiles")
         discard(before)
         discard(now)
 
