@@ -24,7 +24,8 @@ def background(pixels: Column, width: int, height: int) -> Column:
 def adaptive_threshold(pixels: Column, bg: Column) -> Column:
     """Upper median of the differences from the background, from 12 to 48; 24 for a flat raster."""
     differences = F.filter(F.transform(pixels, lambda v: F.abs(v - bg)), lambda d: d > 0)
-    return F.coalesce(F.least(F.greatest(upper_median(differences), F.lit(12)), F.lit(48)), F.lit(24))
+    median = upper_median(differences)
+    return F.when(median.isNull(), F.lit(24)).otherwise(F.least(F.greatest(median, F.lit(12)), F.lit(48)))
 
 
 def ink(pixels: Column, bg: Column, threshold: Column, dark: bool) -> Column:

@@ -87,7 +87,7 @@ def as_elements(rows: DataFrame, by: str = "image_id") -> DataFrame:
 def with_parent_bounds(elements: DataFrame, by: str = "image_id") -> DataFrame:
     """Each element but the root with its parent's bounds."""
     parent = elements.select(F.col(by), F.col("path").alias("__path"), F.col("bounds").alias("parent_bounds"))
-    child = elements.where(F.size("path") > 0).withColumn("__path", F.expr("slice(path, 1, size(path) - 1)"))
+    child = elements.where(F.size("path") > 0).withColumn("__path", F.expr("slice(path, 1, greatest(size(path) - 1, 0))"))
     return child.join(parent, [by, "__path"]).drop("__path")
 
 

@@ -27,7 +27,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 1, min_score: float | N
     if blocks == 1:
         pairs = asked.join(F.broadcast(named), F.col("__own") != F.col("__same") if exclude_same else F.lit(True))
     else:
-        asked = asked.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        asked = asked.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         pairs = asked.join(named, "__block")
         pairs = pairs.where("__own != __same") if exclude_same else pairs
     scored = pairs.select("query", "name", v.dot(F.col("__q"), F.col("__e")).alias("score"))

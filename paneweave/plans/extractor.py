@@ -15,6 +15,17 @@ from ..sinks import documents as sinks
 from ..sources import cases, images
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Rows that several later steps read: checkpointed where the session names a folder for it, else cached."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 class Extractor:
     """Builds the plan for one configuration; models are back-ends or tables computed before.
 
@@ -33,13 +44,13 @@ class Extractor:
     def layout(self, decoded: DataFrame) -> DataFrame:
         """Elements of the boxes found in images (image_id, width, height, gray); an empty layout keeps its root."""
         config = self.config.layout
-        # several joins read the contours; they are traced once
-        traced = imaging.trace_contours(decoded, config).persist(StorageLevel.MEMORY_AND_DISK)
+        traced = imaging.trace_contours(decoded, config)
         judged = traced.withColumn("reason", classify.contour_reason(F.col("bounds"), F.col("border_type") == "hole", config))
         nodes = judged.select("image_id", F.col("contour_id").alias("id"), "parent_id", "bounds", (F.col("reason") == "kept").alias("kept"))
-        linked = hierarchy.accept_parents(nodes, hierarchy.nearest_kept_ancestor(nodes), config=config)
-        tree = hierarchy.build_tree(linked, decoded.where("gray is not null").select("image_id", "width", "height"))
-        return hierarchy.prune(tree, config=config)
+        nodes = settled(nodes)
+        linked = settled(hierarchy.accept_parents(nodes, hierarchy.nearest_kept_ancestor(nodes), config=config))
+        tree = settled(hierarchy.build_tree(linked, decoded.where("gray is not null").select("image_id", "width", "height")))
+        return settled(hierarchy.prune(tree, config=config))
 
     def elements(self, decoded: DataFrame) -> DataFrame:
         """Layout, then words, then icons: a container that got a text is no icon any more."""
@@ -47,7 +58,7 @@ class Extractor:
         if self.config.run_ocr:
             found = self.words if self.words is not None else imaging.recognise(decoded, self.ocr) if self.ocr else None
             if found is not None:
-                out = words.attach_words(out, found)
+                out = settled(words.attach_words(out, found))
         if self.config.run_icon and self.embed and self.icon_index is not None:
             wanted = classify.icon_candidates(out, self.config.icon)
             out = icons.attach_icons(out, imaging.embed_candidates(decoded, wanted, self.embed, self.config.icon), self.icon_index, config=self.config.icon)

@@ -47,7 +47,7 @@ def test_contour_reason(spark, w, h, hole, want):
     ("parent", "child", "want"),
     [
         ((0, 0, 100, 100), (0, 0, 82, 100), True),  # ratio of exactly 0.82
-        ((0, 0, 100, 100), (11, 11, 70, 70), True),  # uniform within 20, ratio 0.49
+        ((0, 0, 100, 100), (15, 15, 70, 70), True),  # uniform within 20, ratio 0.49
         ((0, 0, 100, 100), (11, 18, 70, 71), False),  # margins differ by 8
         ((0, 0, 40, 40), (10, 10, 20, 20), True),  # tight
         ((0, 0, 100, 100), (-1, 0, 90, 100), False),  # not inside
