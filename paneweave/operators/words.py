@@ -76,7 +76,7 @@ def attach_words(elements: DataFrame, words: DataFrame, by: str = "image_id") ->
     nodes = elements.select(by, F.col("path").alias("node_path"), F.col("bounds").alias("node_bounds"))
     held = smallest_enclosing(words.select(by, "word_id", "text", "bounds", "confidence"), nodes, [by], [by, "word_id"], "node_path", ["node_path"])
     lines = merge_lines(held, [by, "node_path"])
-    had = elements.where(F.size("path") > 0).groupBy(by, F.expr("slice(path, 1, greatest(size(path) - 1, 0))").alias("node_path")).agg((F.max(F.element_at("path", -1)) + 1).alias("__had"))
+    had = elements.where(F.size("path") > 0).groupBy(by, F.expr("slice(path, 1, greatest(size(path) - 1, 0))").alias("node_path")).agg((F.max(F.get("path", F.size("path") - 1)) + 1).alias("__had"))
     place = F.row_number().over(Window.partitionBy(by, "node_path").orderBy("bounds.y", "bounds.x", "line_no")) - 1
     texts = lines.join(had, [by, "node_path"], "left").withColumn("__at", (F.coalesce("__had", F.lit(0)) + place).cast("int"))
     new = texts.select(
