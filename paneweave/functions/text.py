@@ -35,7 +35,7 @@ def html_escape(text: Column) -> Column:
 
 
 def depth_color(depth: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, DEPTH_COLORS)), ((depth - 1) % len(DEPTH_COLORS) + 1).cast("int"))
+    return F.get(F.array(*map(F.lit, DEPTH_COLORS)), F.pmod(depth - 1, F.lit(len(DEPTH_COLORS))).cast("int"))
 
 
 def font_size(height: Column) -> Column:
