@@ -94,7 +94,10 @@ def _set_hashes(s: np.ndarray) -> tuple[int, int]:
 
 
 def _stats(docs: DataFrame, ranks) -> DataFrame:
-    """(doc_id, n, h1, h2, prefix) of each document; prefix is null for sets that the task has seen before."""
+    """(doc_id, n, h1, h2, prefix) of each document; prefix is null for sets that the task has seen before.
+
+    Rows with a null doc_id can't hold a class, so they have no prefix and don't count as seen.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
@@ -102,13 +105,14 @@ def _stats(docs: DataFrame, ranks) -> DataFrame:
         for batch in batches:
             for at, block in bt.blocks(batch.column(1), lower=True):
                 n, h1, h2, prefixes = [], [], [], []
-                for s in shingle_sets(block):
+                known = batch.column(0).slice(at, block.n).is_valid().to_pylist()
+                for valid, s in zip(known, shingle_sets(block), strict=True):
                     size = len(s)
                     a, b = _set_hashes(s)
                     n.append(size)
                     h1.append(a)
                     h2.append(b)
-                    if not size or (size, a, b) in seen:
+                    if not size or not valid or (size, a, b) in seen:
                         prefixes.append(None)
                         continue
                     seen.add((size, a, b))

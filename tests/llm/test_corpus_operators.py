@@ -92,6 +92,14 @@ def test_ngram_join_of_odd_rows(spark):
     assert sorted(r[0] or 0 for r in ngram_join.deduplicate(rows).select("doc_id").collect()) == [0, 3, 7]
 
 
+def test_ngram_join_of_a_null_id_ahead_of_its_copy(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(None, text), (5, text), (9, text + " more")], "doc_id long, text string").coalesce(1)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.join(rows).collect()), key=repr)
+    assert got == sorted([(None, None), (5, 5), (9, 5)], key=repr)
+    assert sorted(r[0] or 0 for r in ngram_join.deduplicate(rows).select("doc_id").collect()) == [0, 5]
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
