@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
@@ -49,7 +50,10 @@ def main(argv: list[str] | None = None) -> None:
     if given.command == "cases":
         made.write_cases(given.dir, given.output)
         return
-    elements = made.extract_files(given.input)
+    files = made.read_files(given.input)
+    for row in made.unread(files).toLocalIterator():
+        print(f"{row['image_id']}: {row['error']}", file=sys.stderr)
+    elements = made.extract_bytes(files)
     out = results_json(elements, given.format == "pretty")
     if given.output:
         out.select(F.col("json").alias("value")).write.mode("overwrite").text(given.output)

@@ -1,4 +1,4 @@
-"""PNG bytes to arrays and back, with zlib only: 8 bits, without interlacing."""
+"""PNG bytes to arrays and back, with zlib only; encoding makes 8 bits without interlacing."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 
 _SIGN = b"\x89PNG\r\n\x1a\n"
+#: x, y and steps of the passes of interlaced images
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def encode(image: np.ndarray) -> bytes:
@@ -25,7 +27,7 @@ def encode(image: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """Colour (h, w, 3) array; alpha is left out."""
+    """Colour (h, w, 3) array of bytes; alpha is left out, samples of 16 bits are rounded."""
     if data[:8] != _SIGN:
         raise ValueError("not a PNG image")
     at, packed, palette, head = 8, b"", None, None
@@ -39,36 +41,62 @@ def decode(data: bytes) -> np.ndarray:
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             packed += body
-    if head is None or head[2] != 8 or head[6]:
-        raise ValueError("only 8-bit PNG images without interlacing are read")
-    width, height, _, color = head[:4]
+    if head is None or head[2] not in (1, 2, 4, 8, 16) or head[6] > 1:
+        raise ValueError("no PNG header that is known")
+    width, height, depth, color = head[:4]
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), np.uint8)
-    above = np.zeros(width * channels, np.int32)
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+    if head[6]:
+        image, at = np.zeros((height, width, channels), np.uint16), 0
+        for x, y, dx, dy in _PASSES:
+            w, h = -(-(width - x) // dx), -(-(height - y) // dy)
+            if w > 0 and h > 0:
+                size = h * (1 + -(-w * channels * depth // 8))
+                image[y::dy, x::dx] = _samples(raw[at : at + size], w, h, channels, depth)
+                at += size
+    else:
+        image = _samples(raw, width, height, channels, depth)
+    if color == 3:
+        return palette[image[:, :, 0]]
+    if depth == 16:
+        image = (image.astype(np.uint32) + 128) // 257
+    elif depth < 8:
+        image = image * (255 // ((1 << depth) - 1))
+    image = image.astype(np.uint8)
+    return np.repeat(image[:, :, :1], 3, 2) if channels < 3 else image[:, :, :3]
+
+
+def _samples(data: np.ndarray, width: int, height: int, channels: int, depth: int) -> np.ndarray:
+    """The samples (h, w, channels) of filtered rows."""
+    wide, step = -(-width * channels * depth // 8), max(1, channels * depth // 8)
+    raw = data.reshape(height, 1 + wide)
+    out = np.zeros((height, wide), np.uint8)
+    above = np.zeros(wide, np.int32)
     for y in range(height):
         how, line = raw[y, 0], raw[y, 1:].astype(np.int32)
         if how == 1:
-            line = np.cumsum(line.reshape(-1, channels), 0).ravel()
+            line = np.cumsum(line.reshape(-1, step), 0).ravel()
         elif how == 2:
             line = line + above
         elif how in (3, 4):
             line = line.copy()
             for i in range(len(line)):
-                left = line[i - channels] if i >= channels else 0
+                left = line[i - step] if i >= step else 0
                 if how == 3:
                     line[i] = (line[i] + (left + above[i]) // 2) & 255
                 else:
-                    corner = above[i - channels] if i >= channels else 0
+                    corner = above[i - step] if i >= step else 0
                     guess = left + above[i] - corner
                     near = min((abs(guess - left), 0, left), (abs(guess - above[i]), 1, above[i]), (abs(guess - corner), 2, corner))[2]
                     line[i] = (line[i] + near) & 255
         out[y] = line & 255
         above = out[y].astype(np.int32)
-    image = out.reshape(height, width, channels)
-    if color == 3:
-        return palette[image[:, :, 0]]
-    return np.repeat(image[:, :, :1], 3, 2) if channels < 3 else image[:, :, :3]
+    if depth == 16:
+        out = out.view(">u2").astype(np.uint16)
+    elif depth < 8:
+        bits = np.unpackbits(out, axis=1).reshape(height, -1, depth)
+        out = (bits << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(2, dtype=np.uint8)[:, : width * channels]
+    return out.reshape(height, width, channels)
 
 
 def to_gray(rgb: np.ndarray) -> np.ndarray:

@@ -68,9 +68,17 @@ class Extractor:
         """Elements of (image_id, content: PNG bytes); images that can't be read have none."""
         return self.elements(images.decode_bytes(rows))
 
+    def read_files(self, path: str) -> DataFrame:
+        """(image_id, content: PNG bytes) of the images below a folder; those that can't be read keep their bytes."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", images.NAMES).load(path)
+        return images.as_png(files.select("path", "content"), path).select(F.col("path").alias("image_id"), "content")
+
     def extract_files(self, path: str) -> DataFrame:
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
-        return self.extract_bytes(files.select(F.col("path").alias("image_id"), "content"))
+        return self.extract_bytes(self.read_files(path))
+
+    def unread(self, rows: DataFrame) -> DataFrame:
+        """(image_id, error) of the images that can't be read and have no elements."""
+        return images.decode_bytes(rows).where("error is not null").select("image_id", "error")
 
     def extract_cases(self, path: str) -> DataFrame:
         """Elements of all cases below a folder, in one job."""
@@ -78,12 +86,13 @@ class Extractor:
         return self.extract_bytes(found.select(F.col("case").alias("image_id"), "content"))
 
     def write_cases(self, path: str, output: str) -> None:
-        """JSON, wireframe and drawing of each case; results that are there are replaced."""
+        """JSON, wireframe and drawing of each case, and errors of those that can't be read; results that are there are replaced."""
         found = cases.read_cases(self.spark, path).select(F.col("case").alias("image_id"), "content")
         elements = self.extract_bytes(found).persist()
         try:
             sinks.write_results(elements, f"{output}/json")
             sinks.skeleton_html(elements).select(F.col("image_id").alias("case"), F.col("html").alias("value")).write.mode("overwrite").partitionBy("case").text(f"{output}/skeleton")
+            self.unread(found).withColumnRenamed("image_id", "case").write.mode("overwrite").parquet(f"{output}/errors")
             sinks.annotated(found, elements).write.mode("overwrite").parquet(f"{output}/annotated")
         finally:
             elements.unpersist()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .images import as_png
+
 #: fixed values: names of a case's input, the first that exists is taken
 INPUTS = ("input.png", "input.jpg", "input.jpeg", "input.webp", "input.gif")
 
@@ -18,9 +20,9 @@ def choose_input(files: DataFrame) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(case, path, content) of each case below ``path``, in the order of their names."""
+    """(case, path, content) of each case below ``path``, in the order of their names; content is PNG bytes where it can be read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "input.*").load(path)
     found = choose_input(files.select(F.element_at(F.split("path", "/"), -2).alias("case"), "path", "content"))
     if found.isEmpty():
         raise FileNotFoundError(f"no case with an input image in {path}")
-    return found.orderBy("case")
+    return as_png(found, path, "input.*").orderBy("case")

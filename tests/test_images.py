@@ -157,3 +157,46 @@ def test_stage_line(spark):
     assert got == "load 1.0ms | gray 2.0ms | layout 42ms | parallel_wall 120ms | ocr 80ms | icon 0.0ms+25ms | json 1.0ms | annotate 0.0ms | total 1.50s"
     rows = spark.createDataFrame([("a", "gray_ms", 1.0), ("b", "gray_ms", 2.0)], "image_id string, stage string, ms double")
     assert sinks.batch_totals(rows).first().asDict() == {"stage": "gray_ms", "cases": 2, "ms": 3.0}
+
+
+def written(spark, gray, kind, form, progressive=False):
+    """An image file of gray pixels by the JVM's writers."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(gray.shape[1], gray.shape[0], getattr(jvm.java.awt.image.BufferedImage, kind))
+    for y in range(gray.shape[0]):
+        for x in range(gray.shape[1]):
+            v = int(gray[y, x])
+            image.setRGB(x, y, (v << 16 | v << 8 | v) - (1 << 24))
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName(form).next()
+    param = writer.getDefaultWriteParam()
+    if progressive:
+        param.setProgressiveMode(1)  # MODE_DEFAULT
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    stream.close()
+    return bytes(out.toByteArray())
+
+
+def test_png_of_other_depths_and_interlaced(spark):
+    gray = screen(29, ((5, 6, 15, 12),))
+    for kind in ("TYPE_USHORT_GRAY", "TYPE_BYTE_BINARY", "TYPE_INT_RGB"):
+        for progressive in (False, True):
+            assert (png.decode(written(spark, gray, kind, "png", progressive)) == gray[:, :, None]).all(), (kind, progressive)
+
+
+def test_other_formats_and_unreadable_cases(spark, tmp_path):
+    gray = screen(60, ((10, 10, 30, 30),))
+    for name, data in {"j j+é/input.jpg": written(spark, gray, "TYPE_INT_RGB", "jpeg"), "g/input.gif": written(spark, gray, "TYPE_INT_RGB", "gif"), "w/input.webp": b"RIFF....WEBP"}.items():
+        (tmp_path / "cases" / name).parent.mkdir(parents=True)
+        (tmp_path / "cases" / name).write_bytes(data)
+    made = Extractor(spark)
+    made.write_cases(str(tmp_path / "cases"), str(tmp_path / "out"))
+    assert {r["case"] for r in spark.read.text(str(tmp_path / "out/json"), wholetext=True).collect()} == {"j j+é", "g"}
+    assert {r["image_id"] for r in spark.read.parquet(str(tmp_path / "out/annotated")).collect()} == {"j j+é", "g"}
+    assert [r["case"] for r in spark.read.parquet(str(tmp_path / "out/errors")).collect()] == ["w"]
+    assert made.extract_files(str(tmp_path / "cases")).select("image_id").distinct().count() == 2
+    extract_stream(made, image_stream(spark, str(tmp_path / "cases")), str(tmp_path / "s"), str(tmp_path / "check")).awaitTermination(300)
+    assert spark.read.parquet(str(tmp_path / "s")).select("image_id").distinct().count() == 2
+    assert spark.read.parquet(str(tmp_path / "s_errors")).count() == 1
