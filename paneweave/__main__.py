@@ -25,7 +25,6 @@ def arguments() -> argparse.ArgumentParser:
         c.add_argument("--runtime-config", help="a JSON file or JSON itself")
         c.add_argument("--words", help="Parquet of words computed before")
         c.add_argument("--min-area", type=int, default=100)
-        c.add_argument("--ocr-max-side", type=int, default=960)
         c.add_argument("--min-cosine", type=float, default=0.72)
     extract, cases = commands.choices["extract"], commands.choices["cases"]
     extract.add_argument("--input", required=True)
@@ -39,7 +38,7 @@ def arguments() -> argparse.ArgumentParser:
 
 def settings(given: argparse.Namespace) -> ExtractConfig:
     base = ExtractConfig(run_ocr=not given.layout_only, run_icon=not given.no_icon, models_dir=models_dir(given.models_dir), runtime=runtime_config(given.runtime_config))
-    return replace(base, layout=replace(base.layout, min_area=given.min_area), ocr=replace(base.ocr, max_side=given.ocr_max_side), icon=replace(base.icon, min_cosine=given.min_cosine))
+    return replace(base, layout=replace(base.layout, min_area=given.min_area), icon=replace(base.icon, min_cosine=given.min_cosine))
 
 
 def main(argv: list[str] | None = None) -> None:

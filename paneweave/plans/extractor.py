@@ -56,7 +56,7 @@ class Extractor:
         """Layout, then words, then icons: a container that got a text is no icon any more."""
         out = self.layout(decoded)
         if self.config.run_ocr:
-            found = self.words if self.words is not None else imaging.recognise(decoded, self.ocr) if self.ocr else None
+            found = self.words if self.words is not None else imaging.recognise(decoded, self.ocr, self.config.ocr) if self.ocr else None
             if found is not None:
                 out = settled(words.attach_words(out, found))
         if self.config.run_icon and self.embed and self.icon_index is not None:

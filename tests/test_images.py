@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paneweave.config import ExtractConfig
+from paneweave.config import ExtractConfig, OcrConfig
 from paneweave.imaging import contours, kernels, png
 from paneweave.plans.extractor import Extractor
 from paneweave.schema import ELEMENTS, WORDS
@@ -200,3 +200,12 @@ def test_other_formats_and_unreadable_cases(spark, tmp_path):
     extract_stream(made, image_stream(spark, str(tmp_path / "cases")), str(tmp_path / "s"), str(tmp_path / "check")).awaitTermination(300)
     assert spark.read.parquet(str(tmp_path / "s")).select("image_id").distinct().count() == 2
     assert spark.read.parquet(str(tmp_path / "s_errors")).count() == 1
+
+
+def test_ocr_settings_reach_the_back_end(spark):
+    def backend(gray, config):
+        return [{"text": f"{config.max_side} {config.min_confidence}", "x": 60, "y": 60, "width": 20, "height": 10, "confidence": 90.0}]
+
+    rows = spark.createDataFrame([("a", bytearray(png.encode(screen())))], "image_id string, content binary")
+    out = Extractor(spark, ExtractConfig(ocr=OcrConfig(min_confidence=0.25, max_side=123)), ocr=backend).extract_bytes(rows)
+    assert [r["content"] for r in out.where("kind = 'text'").collect()] == ["123 0.25"]
