@@ -39,7 +39,7 @@ def assign(docs: DataFrame, shards: int = 40, by: str = "source", id_column: str
     order = ["__hash", "__id", *(f"__c{i}" for i in range(len(carry)))]
     rows = docs.select(
         F.col(id_column).alias("__id"), F.col(by).isNull().alias("__none"), F.coalesce(F.col(by).cast("string"), F.lit("")).alias("__by"), hashed.alias("__hash"), *(c.alias(f"__c{i}") for i, c in enumerate(carry.values()))
-    ).withColumn("__bucket", F.conv(F.substring("__hash", 1, 8), 16, 10).cast("long") % buckets)
+    ).withColumn("__bucket", F.expr(f"cast(conv(substring(__hash, 1, 8), 16, 10) as bigint) * {buckets} div {1 << 32}"))
 
     stratum = ["__none", "__by"]
     counts = rows.groupBy(*stratum, "__bucket").agg(F.count("*").alias("__n"))
