@@ -81,6 +81,7 @@ def write_results(elements: DataFrame, path: str, pretty: bool = True) -> None:
 
 def skeleton_nodes(elements: DataFrame) -> DataFrame:
     """(image_id, path, html): the box of every element but the root."""
+    # fixed values: the markup of a box, its classes and its title are an output format
     b = F.col("bounds")
     label = F.coalesce("content", "name")
     named = label.isNotNull()
@@ -91,22 +92,29 @@ def skeleton_nodes(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("kind") != "root").select("image_id", "path", box.alias("html"))
 
 
-_STYLE = (
-    "*{box-sizing:border-box;margin:0;padding:0}body{font-family:system-ui,sans-serif;background:#0d1117;color:#c9d1d9;padding:20px}"
-    ".canvas{position:relative;background:#161b22}.node{position:absolute;border:2px solid;overflow:hidden}.kind-text{border-style:dashed}"
-    ".badge{position:absolute;top:0;left:0;font-size:9px}.text-content{font-size:var(--fs,11px)}.legend i{display:inline-block;width:14px;height:14px}"
-)
+#: The look of the page; the class names are those of ``skeleton_nodes``.
+_STYLE = """
+body { margin: 2rem auto; max-width: max-content; font: 15px/1.5 Georgia, serif; color: #333; background: #f6f4ef }
+h1 { font-size: 1.4em } h1 + p { color: #777 }
+ul.depths { display: flex; gap: 1em; padding: 0; list-style: none }
+ul.depths li::before { content: "\\25A0\\00A0"; color: var(--c) }
+main { position: relative; background: #fff; box-shadow: 0 1px 6px #0003 }
+.node { position: absolute; border: 1px solid; overflow: clip }
+.kind-text { border-style: dotted; background: #0000000a } .kind-icon { border-radius: 4px }
+.badge { float: right; padding: 0 2px; font: 8px monospace; opacity: .6 }
+.text-content { font-size: var(--fs) }
+"""
 
 
 def skeleton_html(elements: DataFrame, title: str | None = None) -> DataFrame:
     """(image_id, html): a wireframe page per image, boxes in the order of a walk from the root."""
     nodes = skeleton_nodes(elements).groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "html"))), lambda n: n["html"]), "\n").alias("nodes"))
     roots = elements.where(F.col("kind") == "root").select("image_id", F.col("bounds.width").cast("string").alias("w"), F.col("bounds.height").cast("string").alias("h"))
-    legend = "".join(f'<span><i style="background:{c}"></i>L{i + 1}</span>' for i, c in enumerate(t.DEPTH_COLORS))
+    legend = "".join(f'<li style="--c:{c}">depth {i + 1}</li>' for i, c in enumerate(t.DEPTH_COLORS))
     name = t.html_escape(F.lit(title) if title else F.col("image_id").cast("string"))
     page = F.concat(
-        F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), name, F.lit(f"</title><style>{_STYLE}</style></head><body><h1>"), name, F.lit('</h1><p class="meta">'), "w", F.lit(" × "), "h",
-        F.lit(f' px</p><div class="legend">{legend}</div><div class="canvas" style="width:'), "w", F.lit("px;height:"), "h", F.lit('px">\n'), F.coalesce("nodes", F.lit("")), F.lit("\n</div></body></html>\n"),
+        F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), name, F.lit(f"</title><style>{_STYLE}</style></head><body><h1>"), name, F.lit('</h1><p>'), "w", F.lit(" by "), "h",
+        F.lit(f' pixels</p><ul class="depths">{legend}</ul><main style="width:'), "w", F.lit("px;height:"), "h", F.lit('px">\n'), F.coalesce("nodes", F.lit("")), F.lit("\n</main></body></html>\n"),
     )
     return roots.join(nodes, "image_id", "left").select("image_id", page.alias("html"))
 
@@ -146,6 +154,7 @@ def annotated(images: DataFrame, elements: DataFrame) -> DataFrame:
 
 def stage_line(row: dict[str, Column]) -> Column:
     """The log line of one case; parts that didn't run are left out."""
+    # fixed values: the labels and their order are an output format
     get = lambda k: row.get(k, F.lit(0.0))
     part = lambda label, k: F.concat(F.lit(label + " "), t.format_ms(get(k)))
     some = lambda label, k, *also: F.when(F.greatest(F.lit(0.0), get(k)) > 0, part(label, k)) if not also else F.when((get(k) > 0) & (get(also[0]) > 0), part(label, k))
