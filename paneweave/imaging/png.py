@@ -70,27 +70,7 @@ def _samples(data: np.ndarray, width: int, height: int, channels: int, depth: in
     """The samples (h, w, channels) of filtered rows."""
     wide, step = -(-width * channels * depth // 8), max(1, channels * depth // 8)
     raw = data.reshape(height, 1 + wide)
-    out = np.zeros((height, wide), np.uint8)
-    above = np.zeros(wide, np.int32)
-    for y in range(height):
-        how, line = raw[y, 0], raw[y, 1:].astype(np.int32)
-        if how == 1:
-            line = np.cumsum(line.reshape(-1, step), 0).ravel()
-        elif how == 2:
-            line = line + above
-        elif how in (3, 4):
-            line = line.copy()
-            for i in range(len(line)):
-                left = line[i - step] if i >= step else 0
-                if how == 3:
-                    line[i] = (line[i] + (left + above[i]) // 2) & 255
-                else:
-                    corner = above[i - step] if i >= step else 0
-                    guess = left + above[i] - corner
-                    near = min((abs(guess - left), 0, left), (abs(guess - above[i]), 1, above[i]), (abs(guess - corner), 2, corner))[2]
-                    line[i] = (line[i] + near) & 255
-        out[y] = line & 255
-        above = out[y].astype(np.int32)
+    out = _unfiltered(raw[:, 0], raw[:, 1:], step)
     if depth == 16:
         out = out.view(">u2").astype(np.uint16)
     elif depth < 8:
@@ -99,6 +79,50 @@ def _samples(data: np.ndarray, width: int, height: int, channels: int, depth: in
     return out.reshape(height, width, channels)
 
 
+#: Rows that are unfiltered together.
+_BAND = 1024
+
+
+def _unfiltered(how: np.ndarray, data: np.ndarray, step: int) -> np.ndarray:
+    """Rows of bytes without their filters; ``step`` is the distance of a byte's left neighbour.
+
+    A byte depends on its neighbours to the left and above, so all bytes of a diagonal are made at once.
+    Rows that depend on one side only are sums along it.
+    """
+    height, wide = data.shape
+    if how.max(initial=0) > 4:
+        raise ValueError("no PNG filter that is known")
+    out = np.zeros((height, wide), np.uint8)
+    if not (how > 2).any():
+        above = np.zeros(wide, np.uint8)
+        for y in range(height):
+            line = data[y]
+            out[y] = above = np.cumsum(line.reshape(-1, step), 0, dtype=np.uint8).ravel() if how[y] == 1 else line + above if how[y] == 2 else line
+        return out
+    pixels = wide // step
+    for top in range(0, height, _BAND):
+        rows = min(_BAND, height - top)
+        kind = how[top : top + rows, None]
+        left_only, above_only, mean, near = (kind == k for k in range(1, 5))
+        band = data[top : top + rows].reshape(rows, pixels, step)
+        # made[d + 2, y + 1] is the byte at (y, d - y); a row of zeros or the band's upper neighbour stands above
+        made = np.zeros((pixels + rows + 1, rows + 1, step), np.int16)
+        if top:
+            made[1 : pixels + 1, 0] = out[top - 1].reshape(pixels, step)
+        for d in range(pixels + rows - 1):
+            ys = slice(max(0, d - pixels + 1), min(rows, d + 1))
+            y = np.arange(ys.start, ys.stop)
+            left = made[d + 1, ys.start + 1 : ys.stop + 1]
+            above, corner = made[d + 1, ys], made[d, ys]
+            to_left, to_above, to_corner = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+            guess = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+            guess = left_only[ys] * left + above_only[ys] * above + mean[ys] * ((left + above) >> 1) + near[ys] * guess
+            made[d + 2, ys.start + 1 : ys.stop + 1] = (band[y, d - y] + guess) & 255
+        y = np.arange(rows)[:, None]
+        out[top : top + rows] = made[y + np.arange(pixels) + 2, y + 1].reshape(rows, wide)
+    return out
+
+
 def to_gray(rgb: np.ndarray) -> np.ndarray:
     """Luma with integer weights of ITU-R BT.709."""
     r, g, b = (rgb[:, :, i].astype(np.uint32) for i in range(3))
