@@ -55,3 +55,8 @@ def percent(kind: Column, confidence: Column) -> Column:
 def label_anchor(b: Column) -> Column:
     """Where a label stands: above the box, never outside the image."""
     return F.struct(F.greatest(b["x"], F.lit(0)).alias("x"), F.greatest(b["y"] - 16, F.lit(0)).alias("y"))
+
+
+def distinct_parts(path: Column, separator: str = ":") -> Column:
+    """The parts of a search path, each once, in the order in which they first occur; empty parts go."""
+    return F.array_join(F.array_distinct(F.array_remove(F.split(path, separator), "")), separator)

@@ -59,3 +59,23 @@ def match_stats(elements: DataFrame, config: IconConfig = IconConfig(), by: str
     open_ = icon_candidates(elements, config).groupBy(by).agg(F.count("*").alias("__open"))
     done = elements.groupBy(by).agg(F.count_if(F.col("kind") == "icon").alias("matched"))
     return done.join(open_, by, "left").select(by, (F.coalesce("__open", F.lit(0)) + F.col("matched")).alias("candidates"), "matched")
+
+
+def match_crops(crops: DataFrame, embed, index: DataFrame, k: int = 1, config: IconConfig = IconConfig()) -> DataFrame:
+    """(query, name, score, rank) of crops (query, width, height, gray) by themselves, without a layout."""
+    from ..imaging.operators import embed_candidates
+
+    whole = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), "width", "height").alias("bounds")
+    images = crops.select(F.col("query").alias("image_id"), "width", "height", "gray")
+    wanted = crops.select(F.col("query").alias("image_id"), F.expr("cast(array() as array<int>)").alias("path"), whole)
+    found = embed_candidates(images, wanted, embed, config)
+    return top_k(found.select(F.col("image_id").alias("query"), "embedding"), index, k, config.min_cosine)
+
+
+def match_regions(images: DataFrame, regions: DataFrame, embed, index: DataFrame, k: int = 1, config: IconConfig = IconConfig()) -> DataFrame:
+    """(image_id, path, name, score, rank) of regions (image_id, path, bounds) of images (image_id, width, height, gray)."""
+    from ..imaging.operators import embed_candidates
+
+    found = embed_candidates(images, regions, embed, config)
+    hits = top_k(found.select(F.struct("image_id", "path").alias("query"), "embedding"), index, k, config.min_cosine)
+    return hits.select("query.image_id", "query.path", "name", "score", "rank")

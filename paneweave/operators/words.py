@@ -46,15 +46,18 @@ def merge_lines(words: DataFrame, by: list[str]) -> DataFrame:
     entry = F.struct(F.col("bounds.y").alias("y"), F.col("bounds.x").alias("x"), "word_id", F.col("bounds.width").alias("w"), F.col("bounds.height").alias("h"), "text", F.col("confidence").cast("double").alias("c"))
     grouped = words.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("ws"))
     grouped = grouped.withColumn("near", line_threshold(F.transform("ws", lambda w: w["h"])))
-    start = F.expr("named_struct('n', -1, 'anchor', 0, 'out', cast(array() as array<int>))")
+    # the fold notes where lines begin, so its state grows with the lines alone
+    start = F.expr("named_struct('i', 0, 'anchor', 0, 'begins', cast(array() as array<int>))")
 
     def step(state: Column, w: Column) -> Column:
-        joins = (state["n"] >= 0) & (F.abs(w["y"] - state["anchor"]) <= F.col("near"))
-        n = F.when(joins, state["n"]).otherwise(state["n"] + 1)
-        return F.struct(n.alias("n"), F.when(joins, state["anchor"]).otherwise(w["y"]).alias("anchor"), F.concat(state["out"], F.array(n)).alias("out"))
-
-    numbers = F.aggregate("ws", start, step, lambda s: s["out"])
-    flat = grouped.withColumn("ns", numbers).select(*by, F.explode(F.arrays_zip("ws", "ns")).alias("z")).select(*by, F.col("z.ns").alias("line_no"), "z.ws.*")
+        joins = (state["i"] > 0) & (F.abs(w["y"] - state["anchor"]) <= F.col("near"))
+        begins = F.when(joins, state["begins"]).otherwise(F.concat(state["begins"], F.array(state["i"])))
+        return F.struct((state["i"] + 1).alias("i"), F.when(joins, state["anchor"]).otherwise(w["y"]).alias("anchor"), begins.alias("begins"))
+
+    begins = F.aggregate("ws", start, step, lambda s: s["begins"])
+    line = lambda at, k: F.slice("ws", at + 1, F.coalesce(F.get("begins", k + 1), F.size("ws")) - at)
+    lines = grouped.withColumn("begins", begins).select(*by, F.posexplode(F.transform("begins", line)).alias("line_no", "line"))
+    flat = lines.select(*by, "line_no", F.explode("line").alias("w")).select(*by, "line_no", "w.*")
     far_x, far_y = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
     merged = flat.groupBy(*by, "line_no").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "y", "word_id", "text"))), lambda w: w["text"]), " ").alias("text"),
@@ -65,6 +68,11 @@ def merge_lines(words: DataFrame, by: list[str]) -> DataFrame:
     return merged.select(*by, "line_no", "text", "bounds", "confidence", "n_words")
 
 
+def confident(words: DataFrame, least: float, scale: float = 100.0) -> DataFrame:
+    """The words whose confidence is at least ``least`` (0 to 1); the words' own scale ends at ``scale``."""
+    return words.where(F.col("confidence") >= least * scale)
+
+
 def plain_text(words: DataFrame, by: str = "image_id") -> DataFrame:
     """The words of each image, one to a line, in their order."""
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_id", "text"))), lambda w: w["text"]), "\n")

@@ -308,14 +308,10 @@ with p as (select l_orderkey as image_id, l_partkey as x, l_suppkey as y,
            row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice) as i, count(*) over (partition by l_orderkey) as n from lineitem)
 select a.image_id, a.i as seq, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from p a join p b on b.image_id = a.image_id and b.i = case when a.i = a.n then 1 else a.i + 1 end where a.n > 1""")
 def contour_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    point = F.struct("l_partkey", "l_suppkey")
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("image_id"), F.row_number().over(w).cast("long").alias("seq"), point.alias("p"), F.lead(point).over(w).alias("next"), F.first(point).over(whole).alias("first"), F.count("*").over(whole).alias("n")
-    )
-    rows = rows.where("n > 1").withColumn("q", F.coalesce("next", "first"))
-    return rows.select("image_id", "seq", F.col("p.l_partkey").alias("x1"), F.col("p.l_suppkey").alias("y1"), F.col("q.l_partkey").alias("x2"), F.col("q.l_suppkey").alias("y2"))
+    from ..operators.contours import segments
+
+    points = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "image_id")
+    return segments(points, "image_id", ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"], "l_partkey", "l_suppkey")
 
 
 @query("""
@@ -325,10 +321,11 @@ select image_id, cast(sum(n) as bigint) as stages, round(coalesce(sum(ms) filter
        round(coalesce(sum(ms) filter (where stage = 'error'), 0), 4) as icon_ms, round(sum(ms), 4) as extract_ms
 from t group by image_id""")
 def stage_timings_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.durations import by_stage
+
     names = {"click": "gray_ms", "view": "layout_ms", "purchase": "ocr_ms", "signup": "attach_ms", "error": "icon_ms"}
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), "event_type", "value")
-    sums = [F.round(F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("value"))), F.lit(0.0)), 4).alias(n) for k, n in names.items()]
-    return rows.groupBy("image_id").agg(F.count("*").alias("stages"), *sums, F.round(F.sum("value"), 4).alias("extract_ms"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), F.col("event_type").alias("stage"), F.col("value").alias("ms"))
+    return by_stage(rows, names).select("image_id", "stages", *(F.round(n, 4).alias(n) for n in (*names.values(), "extract_ms")))
 
 
 @query("""
@@ -499,3 +496,38 @@ def skeleton_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sinks.documents import skeleton_html as page
 
     return page(_attached(spark, sf_dir))
+
+
+@query("""
+select event_id, case when event_id % 4 = 0 then round(value, 4) else 0 end + 0.0 as session_ms, case when event_id % 4 = 1 then 2.5 else 0 end + 0.0 as run_ms, case when event_id % 4 = 0 then 3 else 0 end as images, 0 as batches from events""")
+def embed_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timings of an embedding run, with defaults for what is missing or can't be parsed."""
+    from ..sources.documents import embed_timings as parsed
+
+    k = F.col("event_id") % 4
+    doc = F.when(k == 0, F.concat(F.lit('{"session_ms": '), F.col("value").cast("string"), F.lit(', "images": 3}'))).when(k == 1, '{"run_ms": 2.5, "other": 1}').when(k == 2, "no json")
+    rows = parsed(table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "event_id", "doc")
+    return rows.select("event_id", F.round("session_ms", 4).alias("session_ms"), "run_ms", "images", "batches")
+
+
+@query("""
+select event_id, row_number() over (partition by user_id order by event_id) - 1 as kept_index, user_id from events where event_type <> 'error'""")
+def kept_contour_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.contours import kept_index
+
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_type") != "error").alias("kept"))
+    return kept_index(rows, "user_id", "event_id").select("event_id", F.col("kept_index").cast("long").alias("kept_index"), "user_id")
+
+
+@query("select event_id, value from events where value >= 0.5 * 100")
+def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the least confidence that the settings ask for; the tables' values end at 100 as words' do."""
+    rows = table(spark, sf_dir, "events").select("event_id", "value", F.col("value").alias("confidence"))
+    return words.confident(rows, 0.5).select("event_id", "value")
+
+
+@query("""
+select conv_id, turn, '/' || role || ':/a:/b' as path from conversations""")
+def distinct_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("/"), "role", F.lit("::/a:/"), "role", F.lit(":/b:/a")).alias("path"))
+    return rows.select("conv_id", "turn", text.distinct_parts(F.col("path")).alias("path"))

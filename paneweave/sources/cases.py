@@ -19,10 +19,19 @@ def choose_input(files: DataFrame) -> DataFrame:
     return ranked.groupBy("case").agg(F.min_by(F.struct(*rest), "__rank").alias("__x")).select("case", "__x.*")
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(case, path, content) of each case below ``path``, in the order of their names; content is PNG bytes where it can be read."""
+def list_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(case, path) of each case's input below ``path``, in the order of the cases' names; no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "input.*").load(path)
-    found = choose_input(files.select(F.element_at(F.split("path", "/"), -2).alias("case"), "path", "content"))
-    if found.isEmpty():
+    return choose_input(files.select(F.element_at(F.split("path", "/"), -2).alias("case"), "path")).orderBy("case")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(case, path, content) of each case below ``path``; content is PNG bytes where it can be read.
+
+    Inputs are chosen by their paths, and images are read after that, in no order.
+    """
+    listed = list_cases(spark, path)
+    if listed.isEmpty():
         raise FileNotFoundError(f"no case with an input image in {path}")
-    return as_png(found, path, "input.*").orderBy("case")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "input.*").load(path)
+    return as_png(files.select("path", "content").join(listed, "path").select("case", "path", "content"), path, "input.*")

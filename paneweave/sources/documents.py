@@ -49,13 +49,28 @@ def icon_matches(rows: DataFrame, key: str, column: str) -> DataFrame:
     return each.where(F.col("__h").isNotNull()).select(key, "position", "__h.name", "__h.score")
 
 
+def embed_timings(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, session_ms, ...) of an embedding run; whatever can't be parsed counts as a run of no time."""
+    schema = "struct<" + ", ".join(f"{c}: double" for c in EMBED_DETAIL) + ", images: int, batches: int>"
+    parsed = rows.select(key, F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("__t"))
+    return parsed.select(key, *(F.coalesce(F.col(f"__t.{c}"), F.lit(0.0)).alias(c) for c in EMBED_DETAIL), *(F.coalesce(F.col(f"__t.{c}"), F.lit(0)).alias(c) for c in ("images", "batches")))
+
+
+def icon_counts(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, candidates, matched) from a result's ``timings``; 0 where they are missing."""
+    got = rows.select(key, F.from_json(F.get_json_object(column, "$.timings.icon"), "struct<candidates: int, matched: int>").alias("__i"))
+    return got.select(key, *(F.coalesce(F.col(f"__i.{c}"), F.lit(0)).alias(c) for c in ("candidates", "matched")))
+
+
 def extract_timings(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, stage, ms) in long form from a result's ``timings``; missing fields count as 0."""
     ocr = ", ".join(f"{c}: double" for c in OCR_TIMINGS)
     icon = ", ".join(f"{c}: double" for c in ICON_TIMINGS)
-    schema = "struct<" + ", ".join(f"{c}: double" for c in STAGES) + f", ocr: struct<{ocr}>, icon: struct<candidates: int, matched: int, timings: struct<{icon}>>>"
+    detail = ", ".join(f"{c}: double" for c in EMBED_DETAIL)
+    schema = "struct<" + ", ".join(f"{c}: double" for c in STAGES) + f", ocr: struct<{ocr}>, icon: struct<timings: struct<{icon}, embed_detail: struct<{detail}>>>>"
     got = rows.select(key, F.from_json(F.get_json_object(column, "$.timings"), schema).alias("t"))
     pairs = [("t." + c, c) for c in STAGES] + [("t.ocr." + c, "ocr." + c) for c in OCR_TIMINGS] + [("t.icon.timings." + c, "icon." + c) for c in ICON_TIMINGS]
+    pairs += [("t.icon.timings.embed_detail." + c, "embed." + c) for c in EMBED_DETAIL]
     each = F.array(*(F.struct(F.lit(name).alias("stage"), F.coalesce(F.col(path), F.lit(0.0)).alias("ms")) for path, name in pairs))
     return got.select(key, F.explode(each).alias("s")).select(key, "s.stage", "s.ms")
 

@@ -76,7 +76,7 @@ def test_extraction_finds_the_box_and_its_word(spark, tmp_path):
     document = {r["image_id"]: json.loads(r["json"]) for r in sinks.results_json(out).collect()}
     assert document["a"]["width"] == 200 and document["blank"]["root"] == {"bounds": {"x": 0, "y": 0, "width": 60, "height": 50}, "kind": "root"}
     page = {r["image_id"]: r["html"] for r in sinks.skeleton_html(out).collect()}
-    assert "L2 · text" in page["a"] and "200 × 200 px" in page["a"] and 'title="OK · 90%"' in page["a"]
+    assert "L2 · text" in page["a"] and "200 by 200 pixels" in page["a"] and 'title="OK · 90%"' in page["a"]
     drawn = sinks.annotated(rows.where("image_id = 'a'"), out).first()["png"]
     assert (png.decode(bytes(drawn)) != 255).any(2).sum() > (screen() != 255).sum()
 
@@ -120,7 +120,9 @@ def test_cases_and_packs(spark, tmp_path):
         (tmp_path / "cases" / name).mkdir(parents=True)
         for f in files:
             (tmp_path / "cases" / name / f).write_bytes(png.encode(screen(60, ((10, 10, 30, 30),))))
+    assert [r["case"] for r in cases.list_cases(spark, str(tmp_path / "cases")).collect()] == ["a", "b"]
     got = cases.read_cases(spark, str(tmp_path / "cases")).collect()
+    got.sort(key=lambda r: r["case"])
     assert [(r["case"], r["path"].rsplit("/", 1)[1]) for r in got] == [("a", "input.png"), ("b", "input.jpg")]
     (tmp_path / "none").mkdir()
     with pytest.raises(FileNotFoundError):
@@ -209,3 +211,38 @@ def test_ocr_settings_reach_the_back_end(spark):
     rows = spark.createDataFrame([("a", bytearray(png.encode(screen())))], "image_id string, content binary")
     out = Extractor(spark, ExtractConfig(ocr=OcrConfig(min_confidence=0.25, max_side=123)), ocr=backend).extract_bytes(rows)
     assert [r["content"] for r in out.where("kind = 'text'").collect()] == ["123 0.25"]
+
+
+def test_png_filters(monkeypatch):
+    """All filters, mixed, over several bands, against byte-by-byte sums."""
+    monkeypatch.setattr(png, "_BAND", 4)
+    rng = np.random.default_rng(3)
+    for step in (1, 3, 6):
+        for kinds in ([0, 1, 2], [0, 1, 2, 3, 4], [3], [4]):
+            how, data = rng.choice(kinds, 11).astype(np.uint8), rng.integers(0, 256, (11, 5 * step), dtype=np.uint8)
+            want = np.zeros(data.shape, int)
+            for y in range(11):
+                for i in range(data.shape[1]):
+                    left = want[y, i - step] if i >= step else 0
+                    above = want[y - 1, i] if y else 0
+                    corner = want[y - 1, i - step] if y and i >= step else 0
+                    near = min((left, above, corner), key=lambda v, p=left + above - corner: abs(p - v))
+                    want[y, i] = (data[y, i] + (0, left, above, (left + above) // 2, near)[how[y]]) & 255
+            assert (png._unfiltered(how, data, step) == want).all()
+
+
+def test_matching_without_a_layout(spark):
+    from paneweave.operators import icons
+
+    gray = np.full((40, 40), 255, np.uint8)
+    gray[10:30, 18:22] = 0
+    crops = spark.createDataFrame([("c", 40, 40, bytearray(gray.tobytes()))], "query string, width int, height int, gray binary")
+    one = [1.0] + [0.0] * 511
+    index = spark.createDataFrame([("bar", one), ("other", one[::-1])], "name string, embedding array<float>")
+    embed = lambda x: np.tile(np.array(one, np.float32), (len(x), 1))
+    got = icons.match_crops(crops, embed, index).collect()
+    assert [(r["query"], r["name"], round(r["score"], 5), r["rank"]) for r in got] == [("c", "bar", 1.0, 1)]
+    box = "named_struct('x', 5, 'y', 5, 'width', 30, 'height', 30)"
+    regions = crops.selectExpr("query as image_id", "array(0, 1) as path", f"{box} as bounds")
+    got = icons.match_regions(crops.withColumnRenamed("query", "image_id"), regions, embed, index, 2).collect()
+    assert [(r["image_id"], r["path"], r["name"]) for r in got] == [("c", [0, 1], "bar")]
