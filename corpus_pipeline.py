@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paneweave.llm import decontaminate, line_dedup, ngram_join, quality_rules, sentencepiece_codec
 from paneweave.llm.queries import tokenizer_path
-from paneweave.llm.runtime import stored
+from paneweave.llm.runtime import discard, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
