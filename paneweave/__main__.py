@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .config import ExtractConfig, models_dir, runtime_config
 from .plans.extractor import Extractor
-from .sinks.documents import results_json, skeleton_html
+from .sinks.documents import annotated, results_json, skeleton_html
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -30,6 +30,8 @@ def arguments() -> argparse.ArgumentParser:
     extract.add_argument("--input", required=True)
     extract.add_argument("--output")
     extract.add_argument("--skeleton")
+    extract.add_argument("--annotate", help="Parquet of drawings; written only with --output")
+    extract.add_argument("--dump-pipeline", help="Parquet of the steps from image to layout")
     extract.add_argument("--format", choices=("json", "pretty"), default="json")
     cases.add_argument("--dir", default="tests/cases")
     cases.add_argument("--output", required=True)
@@ -56,9 +58,13 @@ def main(argv: list[str] | None = None) -> None:
     out = results_json(elements, given.format == "pretty")
     if given.output:
         out.select(F.col("json").alias("value")).write.mode("overwrite").text(given.output)
+        if given.annotate:
+            annotated(files, elements).write.mode("overwrite").parquet(given.annotate)
     else:
         for row in out.toLocalIterator():
             print(row["json"])
+    if given.dump_pipeline:
+        made.dump(files).write.mode("overwrite").partitionBy("file").parquet(given.dump_pipeline)
     if given.skeleton:
         skeleton_html(elements).select(F.col("html").alias("value")).write.mode("overwrite").text(given.skeleton)
 

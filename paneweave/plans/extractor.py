@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 from pyspark import StorageLevel
@@ -41,16 +42,31 @@ class Extractor:
     def reload_icons(self, icon_index: DataFrame) -> None:
         self.icon_index = icon_index
 
+    def contours(self, decoded: DataFrame) -> DataFrame:
+        """Contours of images (image_id, width, height, gray) with the reason that keeps or drops each."""
+        config = self.config.layout
+        return imaging.trace_contours(decoded, config).withColumn("reason", classify.contour_reason(F.col("bounds"), F.col("border_type") == "hole", config))
+
     def layout(self, decoded: DataFrame) -> DataFrame:
         """Elements of the boxes found in images (image_id, width, height, gray); an empty layout keeps its root."""
+        return settled(hierarchy.prune(self._tree(decoded, self.contours(decoded)), config=self.config.layout))
+
+    def _tree(self, decoded: DataFrame, judged: DataFrame) -> DataFrame:
+        """The layout before redundant containers are taken out."""
         config = self.config.layout
-        traced = imaging.trace_contours(decoded, config)
-        judged = traced.withColumn("reason", classify.contour_reason(F.col("bounds"), F.col("border_type") == "hole", config))
         nodes = judged.select("image_id", F.col("contour_id").alias("id"), "parent_id", "bounds", (F.col("reason") == "kept").alias("kept"))
         nodes = settled(nodes)
         linked = settled(hierarchy.accept_parents(nodes, hierarchy.nearest_kept_ancestor(nodes), config=config))
-        tree = settled(hierarchy.build_tree(linked, decoded.where("gray is not null").select("image_id", "width", "height")))
-        return settled(hierarchy.prune(tree, config=config))
+        return settled(hierarchy.build_tree(linked, decoded.where("gray is not null").select("image_id", "width", "height")))
+
+    def dump(self, rows: DataFrame) -> DataFrame:
+        """(image_id, file, content) that shows each step from images (image_id, content: PNG bytes) to the layout before pruning."""
+        decoded = settled(images.decode_bytes(rows))
+        judged = settled(self.contours(decoded))
+        stats = classify.filter_stats(judged).select("image_id", F.lit("filter_stats.json").alias("file"), F.to_json(F.struct("total", *classify.REASONS)).cast("binary").alias("content"))
+        drawn = sinks.annotated(rows, self._tree(decoded, judged)).select("image_id", F.lit("08_layout_before_prune.png").alias("file"), F.col("png").alias("content"))
+        listed = decoded.where("gray is not null").select("image_id", F.lit("manifest.json").alias("file"), F.lit(json.dumps([{"file": f} for f in imaging.DUMP_FILES])).cast("binary").alias("content"))
+        return imaging.stage_rasters(decoded, judged, self.config.layout).unionByName(stats).unionByName(drawn).unionByName(listed)
 
     def elements(self, decoded: DataFrame) -> DataFrame:
         """Layout, then words, then icons: a container that got a text is no icon any more."""
@@ -86,7 +102,7 @@ class Extractor:
         return self.extract_bytes(found.select(F.col("case").alias("image_id"), "content"))
 
     def write_cases(self, path: str, output: str) -> None:
-        """JSON, wireframe and drawing of each case, and errors of those that can't be read; results that are there are replaced."""
+        """JSON, wireframe, drawing and steps of each case, and errors of those that can't be read; results that are there are replaced."""
         found = cases.read_cases(self.spark, path).select(F.col("case").alias("image_id"), "content")
         elements = self.extract_bytes(found).persist()
         try:
@@ -94,6 +110,7 @@ class Extractor:
             sinks.skeleton_html(elements).select(F.col("image_id").alias("case"), F.col("html").alias("value")).write.mode("overwrite").partitionBy("case").text(f"{output}/skeleton")
             self.unread(found).withColumnRenamed("image_id", "case").write.mode("overwrite").parquet(f"{output}/errors")
             sinks.annotated(found, elements).write.mode("overwrite").parquet(f"{output}/annotated")
+            self.dump(found).write.mode("overwrite").partitionBy("file").parquet(f"{output}/pipeline")
         finally:
             elements.unpersist()
 

@@ -246,3 +246,15 @@ def test_matching_without_a_layout(spark):
     regions = crops.selectExpr("query as image_id", "array(0, 1) as path", f"{box} as bounds")
     got = icons.match_regions(crops.withColumnRenamed("query", "image_id"), regions, embed, index, 2).collect()
     assert [(r["image_id"], r["path"], r["name"]) for r in got] == [("c", [0, 1], "bar")]
+
+
+def test_dump_shows_each_step(spark):
+    rows = spark.createDataFrame([("a", bytearray(png.encode(screen()))), ("bad", bytearray(b"x"))], "image_id string, content binary")
+    got = {r["file"]: bytes(r["content"]) for r in Extractor(spark).dump(rows).collect()}
+    assert [m["file"] for m in json.loads(got["manifest.json"])] == sorted(got, key=lambda f: [m["file"] for m in json.loads(got["manifest.json"])].index(f))
+    stats = json.loads(got["filter_stats.json"])
+    assert stats["total"] == sum(v for k, v in stats.items() if k != "total") > 0 and stats["kept"] > 0
+    every, kept = (png.decode(got[f])[:, :, 0] > 0 for f in ("06_contours_all.png", "07_contours_kept.png"))
+    assert kept.any() and (every | ~kept).all()
+    dropped = png.decode(got["07_contours_dropped.png"])
+    assert not dropped[:, :, 1:].any() and ((dropped[:, :, 0] > 0) | kept == every).all()
