@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 from dataclasses import replace
+from typing import Any
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,10 @@ def arguments() -> argparse.ArgumentParser:
         c.add_argument("--models-dir")
         c.add_argument("--runtime-config", help="a JSON file or JSON itself")
         c.add_argument("--words", help="Parquet of words computed before")
+        c.add_argument("--ocr-backend", help="module:name of an OcrBackend")
+        c.add_argument("--embed-backend", help="module:name of an EmbedBackend; with it icons are matched")
+        c.add_argument("--ocr-pack", default=ExtractConfig.ocr_pack)
+        c.add_argument("--icon-index-pack", default=ExtractConfig.icon_index_pack)
         c.add_argument("--min-area", type=int, default=100)
         c.add_argument("--min-cosine", type=float, default=0.72)
     extract, cases = commands.choices["extract"], commands.choices["cases"]
@@ -39,15 +45,21 @@ def arguments() -> argparse.ArgumentParser:
 
 
 def settings(given: argparse.Namespace) -> ExtractConfig:
-    base = ExtractConfig(run_ocr=not given.layout_only, run_icon=not given.no_icon, models_dir=models_dir(given.models_dir), runtime=runtime_config(given.runtime_config))
+    base = ExtractConfig(run_ocr=not given.layout_only, run_icon=not given.no_icon, models_dir=models_dir(given.models_dir), ocr_pack=given.ocr_pack, icon_index_pack=given.icon_index_pack, runtime=runtime_config(given.runtime_config))
     return replace(base, layout=replace(base.layout, min_area=given.min_area), icon=replace(base.icon, min_cosine=given.min_cosine))
 
 
+def backend(name: str | None) -> Any:
+    """What ``module:name`` stands for."""
+    module, _, attribute = (name or "").partition(":")
+    return getattr(importlib.import_module(module), attribute) if module else None
+
+
 def main(argv: list[str] | None = None) -> None:
     given = arguments().parse_args(argv)
     spark = SparkSession.builder.appName("paneweave").getOrCreate()
     words = spark.read.parquet(given.words) if given.words else None
-    made = Extractor(spark, settings(given), words)
+    made = Extractor.from_packs(spark, settings(given), words, backend(given.ocr_backend), backend(given.embed_backend))
     if given.command == "cases":
         made.write_cases(given.dir, given.output)
         return

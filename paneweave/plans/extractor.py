@@ -13,7 +13,7 @@ from ..config import ExtractConfig
 from ..imaging import operators as imaging
 from ..operators import classify, hierarchy, icons, words
 from ..sinks import documents as sinks
-from ..sources import cases, images
+from ..sources import cases, images, packs
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -39,6 +39,17 @@ class Extractor:
         self.spark, self.config = spark, config or ExtractConfig()
         self.words, self.ocr, self.embed, self.icon_index = words, ocr, embed, icon_index
 
+    @classmethod
+    def from_packs(cls, spark: SparkSession, config: ExtractConfig, words: DataFrame | None = None, ocr: imaging.OcrBackend | None = None, embed: imaging.EmbedBackend | None = None) -> Extractor:
+        """With the icon index that the configuration names, from the packs of its models folder.
+
+        The packs must be there and of their kinds, or PackError is raised; without icons none is opened.
+        """
+        if not (config.run_icon and embed):
+            return cls(spark, config, words, ocr, embed)
+        index = packs.Registry(spark, config.models_dir).icon_index(config.icon_index_pack)
+        return cls(spark, config, words, ocr, embed, index)
+
     def reload_icons(self, icon_index: DataFrame) -> None:
         self.icon_index = icon_index
 

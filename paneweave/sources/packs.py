@@ -14,6 +14,16 @@ class PackError(ValueError):
     """A pack is missing or of another kind."""
 
 
+def setup_issues(spark: SparkSession, models: str, wanted: dict[str, str]) -> list[str]:
+    """What keeps the wanted packs (id: kind) of a models folder from being used; empty if all is well."""
+    try:
+        found = {r["pack_id"]: r["kind"] for r in Registry(spark, models).manifests().select("pack_id", "kind").collect()}
+    except Exception:  # no folder, or none with a manifest
+        return [f"no packs in {models}"]
+    missing = [f"pack {p} not found" for p in wanted if p not in found]
+    return missing + [f"pack {p} is of kind {found[p]}, not {kind}" for p, kind in wanted.items() if found.get(p, kind) != kind]
+
+
 class Registry:
     """The packs below a models folder; manifests are read once."""
 

@@ -1,11 +1,13 @@
 """Image kernels, contours, documents and the whole extraction on drawn screens."""
 
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paneweave import __main__
 from paneweave.config import ExtractConfig, OcrConfig
 from paneweave.imaging import contours, kernels, png
 from paneweave.plans.extractor import Extractor
@@ -141,6 +143,18 @@ def test_cases_and_packs(spark, tmp_path):
             registry.manifest(pack, kind)
     with pytest.raises(packs.PackError, match="embed_model_id"):
         registry.icon_index("j")
+    models = str(tmp_path / "models")
+    assert packs.setup_issues(spark, models, {"i": "icon_index", "e": "embed"}) == []
+    assert packs.setup_issues(spark, models, {"x": "ocr", "e": "ocr"}) == ["pack x not found", "pack e is of kind embed, not ocr"]
+    assert packs.setup_issues(spark, str(tmp_path / "nothing"), {"i": "icon_index"}) == [f"no packs in {tmp_path / 'nothing'}"]
+    config = replace(ExtractConfig(), models_dir=models, icon_index_pack="i")
+    assert Extractor.from_packs(spark, config, embed=lambda x: x).icon_index is not None and Extractor.from_packs(spark, config).icon_index is None
+    with pytest.raises(packs.PackError):
+        Extractor.from_packs(spark, replace(config, icon_index_pack="j"), embed=lambda x: x)
+    given = __main__.arguments().parse_args(["extract", "--input", "a", "--icon-index-pack", "i", "--embed-backend", "math:sqrt", "--annotate", "x"])
+    assert __main__.settings(given).icon_index_pack == "i" and __main__.backend(given.embed_backend)(4) == 2 and __main__.backend(None) is None
+    counted = spark.createDataFrame([(1, '{"timings": {"icon": {"candidates": 4, "matched": 2}}}'), (2, "{}")], "k int, j string")
+    assert [tuple(r) for r in documents.icon_counts(counted, "k", "j").orderBy("k").collect()] == [(1, 4, 2), (2, 0, 0)]
 
 
 def test_stream_gives_the_rows_of_the_batch(spark, tmp_path):
