@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,10 +16,15 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Tables of counts are added up in so many slices, and so many tables at a time.
 SLICES = 64
+#: One text in so many is looked at for a sample.
+THIN = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; without one (as in tests) a temporary folder is set."""
+    """The folder that ``spark.checkpoint.dir`` names; without one a local master (as in tests) gets a temporary folder.
+
+    On a cluster a local folder would be another one on each machine, so the setting is asked for.
+    """
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
         if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -26,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     found = tempfile.mkdtemp(prefix="paneweave-")
     sc.setCheckpointDir(found)
     return found
@@ -63,6 +71,35 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def some_texts(docs: DataFrame, rows: int, each_bytes: int = 1 << 16) -> list[str | None]:
+    """At most ``rows`` texts of at most ``each_bytes`` bytes, one in THIN by hash, so not just the first rows.
+
+    For estimates and checks alone: no more of the table is read than it takes to find them.
+    """
+    thin = F.pmod(F.xxhash64("text"), F.lit(THIN)) == 0
+    small = docs.select("text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= each_bytes)
+    found = [r[0] for r in small.where(thin).limit(rows).collect()]
+    return found or [r[0] for r in small.limit(rows).collect()]
+
+
+#: Ids are marked in a bitmap of so many bits, pages of 32768 bits each.
+MARK_BITS = 27
+
+
+def marked(ids: DataFrame, column: str) -> DataFrame:
+    """(page, bits) a bitmap in which the hashes of all ids are set; 16 MB at most, whatever their number."""
+    at = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - MARK_BITS)
+    return ids.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("__page")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("__bits"))
+
+
+def only_marked(rows: DataFrame, column: str, pages: DataFrame) -> DataFrame:
+    """The rows whose id is marked, and a few whose hash is another marked id's."""
+    at = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - MARK_BITS)
+    byte = "cast(conv(hex(substring(__bits, cast((__at % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+    joined = rows.withColumn("__at", at).join(F.broadcast(pages), F.expr("__at div 32768") == F.col("__page"))
+    return joined.where(f"getbit({byte}, cast(__at % 8 as int)) = 1").select(*rows.columns)
+
+
 def sum_counts(tables: DataFrame, parts: int) -> np.ndarray:
     """The sum of tables of 64-bit counts, one row (part, counts) for each task; empty without rows.
 
