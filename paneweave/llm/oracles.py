@@ -28,6 +28,22 @@ select doc_id, cast(size + 16 as bigint) as size, cast(crc as bigint) as text_cr
        cast(place - ((place * 40 // total) * total + 39) // 40 as bigint) as slot, cast(null as int) as grown_shard
 from ordered"""
 
+#: words of a line between blanks and the like, as in the operator; rarity by the number of sets that hold a word
+LINE_DEDUP = r"""
+with d as (select doc_id, text, string_split(text, chr(10)) as x from documents),
+l as (select doc_id, unnest(range(len(x))) as line, unnest(x) as s from d where text is not null),
+w as (select doc_id, line, s, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(s), '[\t\x0B\f\r]', ' ', 'g'), ' '), lambda v: v <> ''))) as ws from l),
+c as (select *, row_number() over () as cls from (select ws, len(ws) as n, min((doc_id, line)) as first from w where len(ws) > 0 group by ws) q),
+t as (select cls, n, unnest(ws) as word from c),
+f as (select word, count(*) as df from t group by word),
+p as (select cls, n, word from (select cls, n, word, row_number() over (partition by cls order by df, word) as k from t join f using (word)) q where k <= n - ceil(0.75 * n) + 1),
+pairs as (select distinct a.cls as a, b.cls as b from p a join p b on a.word = b.word and a.cls <> b.cls and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+m as (select distinct b from pairs join c x on x.cls = a join c y on y.cls = b
+      where x.first < y.first and 100 * len(list_intersect(x.ws, y.ws)) >= 75 * (x.n + y.n - len(list_intersect(x.ws, y.ws)))),
+v as (select w.doc_id, w.line, w.s, coalesce((w.doc_id, w.line) <> c.first or m.b is not null, false) as gone from w left join c on w.ws = c.ws left join m on m.b = c.cls),
+k as (select doc_id, cast(count(*) as int) as n_lines, cast(count(*) filter (gone) as int) as n_removed, coalesce(string_agg(s, chr(10) order by line) filter (not gone), '') as text from v group by doc_id)
+select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_removed, 0) as n_removed, k.text from d left join k using (doc_id)"""
+
 DECONTAMINATION = rf"""
 with d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
 i as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),

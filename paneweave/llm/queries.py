@@ -33,7 +33,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read(*token_files.write(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+    return token_files.read(spark, token_files.write(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
     "op2_sharding": oracles.SHARDING,
     "op5_decontamination": oracles.DECONTAMINATION,
     "op7_quality_rules": oracles.QUALITY_RULES,

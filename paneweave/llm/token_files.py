@@ -10,8 +10,13 @@ One block holds whole documents and reads by itself::
     i64 doc_id of each document         u64 ids of each document
     control bytes, (ids + 3) div 4      data bytes
 
-All little-endian.  The ranks' ids stand in a table of their own.  Blocks are rows of a Parquet table
-in the shared folder, so a lost task leaves no half-written block, and any file system serves.
+All little-endian.  The blocks are rows of the Parquet table ``blocks`` in the files' folder; the table
+``ranks`` beside it holds one row with the format's version, the ids in the order of their ranks and
+their checksum, so the folder reads by itself.  A lost task leaves no half-written block, and any file
+system serves.
+
+Strings of special tokens in a text are ordinary text, as the tokenizers' own guide sets it: a document
+that holds ``<|endoftext|>`` can't end itself.
 
 The corpus is ordered by doc_id by ranges, each range is tokenized once into a draft, the drafts'
 frequencies are added up, and the drafts are written anew with the ranks.  Null and empty texts have
@@ -28,11 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .runtime import SLICES, map_arrow, stored, sum_counts
+from .runtime import SLICES, discard, map_arrow, new_path, stored, sum_counts
 from .wordwise import ENCODE_BYTES, Wordwise
 
 END = 2
@@ -127,11 +132,12 @@ def _draft(docs: DataFrame, tokenizer: str) -> DataFrame:
     return map_arrow(docs.select(docs["doc_id"].cast("long"), "text"), run, schema)
 
 
-def write(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, np.ndarray]:
-    """Blocks (part, seq, start, block) of the corpus in ascending doc_id, and the id of each rank.
+def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
+    """Write the corpus in ascending doc_id to a folder, by default a new one in the shared folder; its path.
 
-    ``start`` counts the ids before a block within its part; parts follow one another.
+    ``start`` of a block counts the ids before it within its part; parts follow one another.
     """
+    path = path or new_path(docs.sparkSession, "token-files")
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit("")))
     draft = stored(_draft(ordered, tokenizer), "draft")
     tables = draft.where("freq is not null").select("part", F.col("freq").alias("counts"))
@@ -151,16 +157,29 @@ def write(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(3)), pa.array([len(low)], pa.int64()), pa.array([block], pa.binary())], names=["part", "seq", "start", "n_ids", "block"])
 
     blocks = map_arrow(draft.where("freq is null").drop("freq"), run, "part int, seq int, start long, n_ids long, block binary")
-    return stored(blocks, "token-blocks"), by_rank
+    blocks.write.parquet(f"{path}/blocks")
+    raw = by_rank.astype("<u4").tobytes()
+    ids = docs.sparkSession.createDataFrame([(_VERSION, zlib.crc32(raw), bytearray(raw))], "version int, crc32 long, ids binary")
+    ids.coalesce(1).write.parquet(f"{path}/ranks")
+    discard(draft)
+    return path
+
+
+def _rank_table(spark: SparkSession, path: str) -> np.ndarray:
+    """The ids in the order of their ranks: one entry for each id of the vocabulary."""
+    row = spark.read.parquet(f"{path}/ranks").first()
+    if row is None or row["version"] != _VERSION or zlib.crc32(row["ids"]) != row["crc32"]:
+        raise ValueError("the table of ranks is not of this version, or damaged")
+    return np.frombuffer(bytes(row["ids"]), "<u4")
 
 
-def read(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """One row per document from its block: doc_id, start, n_tokens, ids_crc32."""
-    spark = blocks.sparkSession
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document from the files in a folder: doc_id, start, n_tokens, ids_crc32."""
+    blocks = spark.read.parquet(f"{path}/blocks")
     # one row a task of the writing job, of which the scheduler holds a list as well: small enough to broadcast
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    held = spark.sparkContext.broadcast(by_rank)
+    held = spark.sparkContext.broadcast(_rank_table(spark, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
