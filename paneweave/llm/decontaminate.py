@@ -5,30 +5,36 @@ words of the training texts and tracks the longest match that ends at each word.
 when it is as long as a window (``window`` consecutive words of one item) or when it covers the
 whole of an item that is shorter.  All words of a taken match are hit.
 
-The automaton has at most two states a word of the items.  Items beyond ``WORDS_PER_AUTOMATON``
-words go to further automata, each built by itself and read in turn, so what one task holds is
-bounded however many items there are; the hits of all automata are united.
+The automaton has at most two states a word of the items.  Items of up to ``AUTOMATON_BYTES`` bytes of
+text make one automaton, which is broadcast.  More are dealt out by hash to several: each is built from
+its items alone, sent out and read by itself, and what it finds is stored; then the hits of all are
+united.  So the driver and a task hold one automaton at a time, however many items there are.  A long
+item is put in as stretches that share ``window`` - 1 words, which hold the same windows.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the lower-cased (A-Z) text.  Null and empty
-texts have no words and no hits, an item without words matches nothing, equal items all count,
+texts have no words and no hits, an item without words matches nothing, equal items of several ids all
+count, rows of one id count as one item and a null id as an empty one,
 repeated rows are each answered, an empty item table leaves every text clean, and further columns
 are kept by ``clean`` whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .runtime import map_arrow
+from .runtime import discard, map_arrow, stored
 
 WINDOW = 10
-WORDS_PER_AUTOMATON = 1_000_000
+AUTOMATON_BYTES = 1 << 20
+STRETCH_WORDS = 50_000
 
 
 class Automaton:
@@ -161,29 +167,41 @@ def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return found
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, words_each: int = WORDS_PER_AUTOMATON) -> list[Automaton]:
-    """Automata of all items, each of at most ``words_each`` words or one item."""
-    out: list[Automaton] = []
-    part: list[tuple[str, list[int]]] = []
-    held = 0
-    for row in benchmark.select(benchmark["item_id"].cast("string"), "text").toLocalIterator():
-        words: list[int] = []
-        for _, block in bt.blocks(pa.array([row[1]], pa.large_string()), lower=True):
-            words = block.hashes(*block.spans(bt.ALNUM)).tolist()
-        if part and held + len(words) > words_each:
-            out.append(Automaton(part, window))
-            part, held = [], 0
-        part.append((row[0] or "", words))
-        held += len(words)
-    if part:
-        out.append(Automaton(part, window))
-    return out
+def _words(text: str | None) -> list[int]:
+    found: list[int] = []
+    for _, block in bt.blocks(pa.array([text], pa.large_string()), lower=True):
+        found = block.hashes(*block.spans(bt.ALNUM)).tolist()
+    return found
+
+
+def _stretches(items: Iterable[tuple[str | None, str | None]], window: int) -> Iterator[tuple[str, list[int]]]:
+    """(name, words) of all items, long ones in stretches that hold the same windows."""
+    for name, text in items:
+        words = _words(text)
+        size = max(STRETCH_WORDS, 2 * window)
+        yield name or "", words[:size]
+        for at in range(size, len(words), size - window + 1):
+            yield name or "", words[at - window + 1 : at + size - window + 1]
+
+
+class Items:
+    """The test items, in parts of bounded size."""
+
+    def __init__(self, benchmark: DataFrame, window: int):
+        self.window = window
+        self.rows = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].alias("text")).dropDuplicates()
+        total = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.parts = max(1, -(-total // AUTOMATON_BYTES))
+
+    def automaton(self, part: int) -> Automaton:
+        mine = self.rows.where(F.expr(f"pmod(xxhash64(item, text), {self.parts}) = {part}"))
+        return Automaton(_stretches(sorted(map(tuple, mine.toLocalIterator()), key=repr), self.window), self.window)  # AUTOMATON_BYTES or so
 
 
 class Hits:
     """What the automata find in the texts of one block."""
 
-    def __init__(self, block: bt.Block, tables: list[Automaton]):
+    def __init__(self, block: bt.Block, table: Automaton | None):
         self.begins, self.ends = block.spans(bt.ALNUM)
         self.counts = block.counts(self.begins)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
@@ -191,60 +209,117 @@ class Hits:
         self.items: dict[int, set[str]] = {}
         hashes = block.hashes(self.begins, self.ends)
         doc = np.repeat(np.arange(block.n), self.counts)
-        for table in tables:
-            for a, b in table.runs(hashes, doc):
-                for x, y, found in table.scan(hashes[a:b].tolist()):
-                    self.hit[a + x : a + y] = True
-                    self.items.setdefault(int(doc[a]), set()).update(table.names[i] for i in found)
+        for a, b in table.runs(hashes, doc) if table else ():
+            for x, y, found in table.scan(hashes[a:b].tolist()):
+                self.hit[a + x : a + y] = True
+                self.items.setdefault(int(doc[a]), set()).update(table.names[i] for i in found)
 
     def per_text(self) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(self.hit)])
         return total[self.first[1:]] - total[self.first[:-1]]
 
 
+    def add(self, k: int, spans: list[int] | None, items: list[str] | None) -> None:
+        """What was found in text k before."""
+        for a, b in zip(spans[::2], spans[1::2], strict=True) if spans else ():
+            self.hit[self.first[k] + a : self.first[k] + b] = True
+        if items:
+            self.items.setdefault(k, set()).update(items)
+
+    def spans(self, k: int) -> list[int]:
+        """Begin and end, in words, of the stretches of hit words of text k."""
+        own = self.hit[self.first[k] : self.first[k + 1]].astype(np.int8)
+        return np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]))).tolist()
+
+
+def _keys(names: tuple[str, str]) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias(names[0]), F.xxhash64("text").alias(names[1])]
+
+
+def _all_hits(docs: DataFrame, items: Items) -> DataFrame:
+    """(__id, __th, __spans, __items) of the documents in which any part finds something, one part at a time."""
+    found = []
+    for part in range(items.parts):
+        held = docs.sparkSession.sparkContext.broadcast(items.automaton(part))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, block in bt.blocks(batch.column(2), lower=True):
+                    hits = Hits(block, held.value)
+                    rows = np.flatnonzero(hits.per_text()).tolist()
+                    ids, hashes = (batch.column(i).slice(at, block.n).take(pa.array(rows, pa.int64())) for i in range(2))
+                    yield pa.RecordBatch.from_arrays([ids, hashes, pa.array([hits.spans(k) for k in rows], pa.list_(pa.int32())), pa.array([sorted(hits.items[k]) for k in rows], pa.list_(pa.string()))], names=["__id", "__th", "spans", "items"])
+
+        found.append(stored(map_arrow(docs.select(*_keys(("__id", "__th")), "text"), run, "__id long, __th long, spans array<int>, items array<string>"), "hits"))
+        held.unpersist()
+    united = functools.reduce(DataFrame.unionAll, found).groupBy("__id", "__th")
+    out = stored(united.agg(F.flatten(F.collect_set("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items")), "hits")
+    for done in found:
+        discard(done)
+    return out
+
+
+def _with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    keyed = docs.select("*", *_keys(("__id_", "__th_")))
+    return keyed.join(hits, keyed["__id_"].eqNullSafe(hits["__id"]) & keyed["__th_"].eqNullSafe(hits["__th"]), "left").select(*docs.columns, "__spans", "__items")
+
+
 def measure(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: its words, those hit, and the items found in it."""
-    held = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+    items = Items(benchmark, window)
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    one = items.parts == 1
+    held = docs.sparkSession.sparkContext.broadcast(items.automaton(0) if one else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, block in bt.blocks(batch.column(1), lower=True):
                 hits = Hits(block, held.value)
+                if not one:
+                    for k in range(block.n):
+                        hits.add(k, batch.column(2)[at + k].as_py(), batch.column(3)[at + k].as_py())
                 n_hit = hits.per_text()
-                items = [sorted(hits.items.get(k, ())) for k in range(block.n)]
+                names = [sorted(hits.items.get(k, ())) for k in range(block.n)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, block.n),
                         pa.array(hits.counts, pa.int64()),
                         pa.array(n_hit, pa.int64()),
-                        pa.array(map(len, items), pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+                        pa.array(map(len, names), pa.int64()),
+                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
                         pa.array(n_hit > 0),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return map_arrow(docs.select(docs["doc_id"].cast("long"), "text"), run, schema)
+    return map_arrow(docs if one else _with_hits(docs, _all_hits(docs, items)), run, schema)
+
 
+def _without(text: bytes, hits: Hits) -> bytes:
+    """One text without its hit words."""
+    spans = hits.spans(0)
+    parts, at = [], 0
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        parts.append(text[at : hits.begins[a]].rstrip(b" \t"))
+        at = int(hits.ends[b - 1])
+    return b" ".join([*parts, text[at:].lstrip(b" \t")])
 
-def _cut(text: bytes, tables: list[Automaton], max_coverage: float) -> bytes | None:
+
+def _one(text: bytes, table: Automaton | None) -> Hits:
+    return Hits(bt.Block(np.frombuffer(text, np.uint8), np.array([0, len(text)]), lower=True), table)
+
+
+def _cut(text: bytes, table: Automaton, max_coverage: float) -> bytes | None:
     """The text without its hit words, cut again until nothing is found; None if too much of it is hit."""
     first = True
     while True:
-        block = bt.Block(np.frombuffer(text, np.uint8), np.array([0, len(text)]), lower=True)
-        hits = Hits(block, tables)
+        hits = _one(text, table)
         if not hits.hit.any():
             return text
         if first and hits.hit.mean() > max_coverage:
             return None
-        first = False
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hits.hit.astype(np.int8), [0]])))
-        parts, at = [], 0
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            parts.append(text[at : hits.begins[a]].rstrip(b" \t"))
-            at = int(hits.ends[b - 1])
-        text = b" ".join([*parts, text[at:].lstrip(b" \t")])
+        first, text = False, _without(text, hits)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.8) -> DataFrame:
@@ -253,23 +328,52 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
     Cutting can bring words together that match once more; a text is read again until it is clean.
     A text without hits is returned byte for byte; null stays null.
     """
-    held = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
-    at_text = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(at_text)
-            changed: dict[int, str | None] = {}
-            for at, block in bt.blocks(column, lower=True):
-                for k in np.flatnonzero(Hits(block, held.value).per_text()).tolist():
-                    cut = _cut(column[at + k].as_py().encode(), held.value, max_coverage)
-                    changed[at + k] = None if cut is None else cut.decode()
-            if changed:
-                texts = [changed[i] if i in changed else x.as_py() for i, x in enumerate(column)]
-                keep = pa.array([changed.get(i, "") is not None for i in range(len(texts))])
-                arrays = [*batch.columns]
-                arrays[at_text] = pa.array(texts, column.type)
-                batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(keep)
-            yield batch
-
-    return map_arrow(docs, run, docs.schema)
+    items = Items(benchmark, window)
+    columns, at_text = docs.columns, docs.columns.index("text")
+
+    def with_texts(batch: pa.RecordBatch, changed: dict[int, str | None]) -> pa.RecordBatch:
+        """The batch with changed texts; rows changed to None go."""
+        if not changed:
+            return batch
+        column = batch.column(at_text)
+        texts = [changed[i] if i in changed else x.as_py() for i, x in enumerate(column)]
+        arrays = [*batch.columns]
+        arrays[at_text] = pa.array(texts, column.type)
+        return pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array([changed.get(i, "") is not None for i in range(len(texts))]))
+
+    if items.parts == 1:
+        held = docs.sparkSession.sparkContext.broadcast(items.automaton(0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column(at_text)
+                changed: dict[int, str | None] = {}
+                for at, block in bt.blocks(column, lower=True):
+                    for k in np.flatnonzero(Hits(block, held.value).per_text()).tolist():
+                        cut = _cut(column[at + k].as_py().encode(), held.value, max_coverage)
+                        changed[at + k] = None if cut is None else cut.decode()
+                yield with_texts(batch, changed)
+
+        return map_arrow(docs, run, docs.schema)
+
+    most, now = max_coverage, docs
+    while True:
+        hits = _all_hits(now, items)
+        if not hits.count():
+            return now
+
+        def cut(batches: Iterator[pa.RecordBatch], most=most) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                changed: dict[int, str | None] = {}
+                for i, spans in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
+                    if spans:
+                        text = batch.column(at_text)[i].as_py().encode()
+                        own = _one(text, None)
+                        own.add(0, spans, None)
+                        changed[i] = None if own.hit.mean() > most else _without(text, own).decode()
+                yield with_texts(batch.select(columns), changed)
+
+        before, now = now, stored(map_arrow(_with_hits(now, hits), cut, docs.schema), "cleaned")
+        discard(before)
+        discard(hits)
+        most = 1.0

@@ -93,7 +93,7 @@ def brute_hits(texts, items, window):
         w = norm(t)
         k = min(window, len(w))
         for i in range(len(w) - k + 1 if w else 0):
-            table[tuple(w[i : i + k])].add(str(name))
+            table[tuple(w[i : i + k])].add("" if name is None else str(name))
     out = []
     for t in texts:
         w, hit, found = norm(t), set(), set()
@@ -108,10 +108,13 @@ def brute_hits(texts, items, window):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_decontamination_equals_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(decontaminate, "WORDS_PER_AUTOMATON", 12)
+    """With one automaton, and with several that are built, sent out and read one by one."""
+    if seed > 1:
+        monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 60)
+    monkeypatch.setattr(decontaminate, "STRETCH_WORDS", 9)
     rng = random.Random(seed)
     words = ["a", "B", "c é", "日", "x1"][: 2 + seed]
-    items = [(i, rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(0, 14)))) for i in range(12)] + [(99, None), (98, "..."), (0, "a a a")]
+    items = [(i, rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(0, 14)))) for i in range(12)] + [(99, None), (98, "..."), (0, "a a a"), (0, "a a a"), (None, "a B a B")]
     texts = [None, "", "...", "a " * 3000, *(" ".join(rng.choice([*words, "Q"]) for _ in range(rng.randint(0, 60))) for _ in range(40))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     rows = {r["doc_id"]: r for r in decontaminate.measure(docs(spark, texts), benchmark, 4).collect()}
