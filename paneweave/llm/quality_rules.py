@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytetext as bt
-from .runtime import map_arrow
+from .runtime import map_arrow, some_texts
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"[#*$%&|<>]")[1:-1]] = True
@@ -140,8 +140,7 @@ class Cascade:
 
     def fit(self, docs: DataFrame, sample_rows: int = 400) -> Cascade:
         """Measure cost and selectivity on at most ``sample_rows`` texts and reorder; the sample decides nothing else."""
-        rows = docs.select("text").limit(sample_rows).collect()
-        texts = pa.array([r[0] for r in rows], pa.large_string())
+        texts = pa.array(some_texts(docs, sample_rows), pa.large_string())
         seconds, rejected, total = dict.fromkeys([r.name for r in self.rules], 0.0), dict.fromkeys([r.name for r in self.rules], 0), 0
         for _, block in bt.blocks(texts):
             total += block.n

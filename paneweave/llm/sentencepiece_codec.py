@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytetext as bt
-from .runtime import map_arrow
+from .runtime import map_arrow, some_texts
 from .wordwise import ENCODE_BYTES, Wordwise
 
 MARK = "▁"
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, model: str, verify_rows: int = 100) -> DataFrame:
 
     The ids of at most ``verify_rows`` documents are compared with sentencepiece's first.
     """
-    Codec.get(model).verify(model, [r[0] for r in docs.select("text").limit(verify_rows).collect()])
+    Codec.get(model).verify(model, some_texts(docs, verify_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.get(model)
