@@ -3,7 +3,9 @@
 A text's features are the distinct n-grams (NGRAMS bytes, A-Z lower-cased, a space put before and
 after the text), hashed into 2**BITS places.  On labelled texts each place gets the logarithm of the
 ratio of its share in toxic texts to that in others; a logistic regression is then fitted on the
-features scaled by these ratios, and scores are its probabilities.
+features scaled by these ratios, and scores are its probabilities.  The regression has FEATURES places
+at most: of those that SEEN texts of the sample hold, the ones with the strongest ratios, weighed by
+the root of their counts.  The others have no weight.
 
 Null and empty texts have no n-grams and get the score of the intercept; repeated rows score alike;
 texts are read whole; labels, languages, sources and ids are never inputs; without labelled rows of
@@ -27,7 +29,7 @@ from .runtime import map_arrow
 NGRAMS = (4, 5, 6)
 BITS = 20
 TRAIN_PER_CLASS = 2500
-FEATURES = 20_000
+FEATURES, SEEN = 20_000, 3
 THRESHOLD = 0.7
 
 _CODE = np.random.default_rng(71).integers(1, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
@@ -76,7 +78,7 @@ class Model:
             seen[label, own] += 1
         n0, n1 = len(y) - y.sum(), y.sum()
         ratio = np.log((seen[1] + smooth) / (n1 + 2 * smooth)) - np.log((seen[0] + smooth) / (n0 + 2 * smooth))
-        strength = np.where(seen.sum(0) >= 3, np.abs(ratio) * np.sqrt(np.maximum(seen[0], seen[1])), 0.0)
+        strength = np.where(seen.sum(0) >= SEEN, np.abs(ratio) * np.sqrt(np.maximum(seen[0], seen[1])), 0.0)
         chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
         chosen = chosen[strength[chosen] > 0]
         number = np.full(1 << BITS, -1, np.int32)
