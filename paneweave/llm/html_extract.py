@@ -8,12 +8,12 @@ page around it, and a logistic output tells main text from the rest.
 
 There are no labelled pages, so the network is fitted on pages that ``sample_page`` writes: random
 layouts with known main text, whose menus, headers, sidebars, notices, adverts, forms, footers and
-reader comments use the usual tags and class names.  Fitting takes a second or two, has a fixed seed
-and a documented size (TRAIN_PAGES), and is the same for any input.
+reader comments use the usual tags and class names.  Fitting takes some seconds at each call, has a
+fixed seed and a documented size (TRAIN_PAGES), and is the same for any input.
 
 Character references are decoded, white space within a block becomes one space, blocks are trimmed
-and joined by one line feed; nothing is cut or capped.  Scripts, styles, templates, comments and
-markup hold no text.  Null and empty pages give an empty text of 0 characters; unclosed and stray tags
+and joined by one line feed; nothing is cut or capped.  Scripts, styles, templates, frames, text fields,
+comments and markup hold no text.  Null and empty pages give an empty text of 0 characters; unclosed and stray tags
 close as browsers do for paragraphs, items and cells; repeated rows give the same text; an empty table
 gives an empty one; further columns don't matter.
 """
@@ -36,16 +36,18 @@ PATH_DIMS, WORD_DIMS, FIGURES = 48, 16, 4
 DIMS = PATH_DIMS + WORD_DIMS + FIGURES
 HIDDEN = 16
 TRAIN_PAGES = 500
-PAGES_AT_ONCE = 256
+STEPS_AT_ONCE = 1 << 15
 
 # fixed values: elements of the HTML standard by their part in the layout
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template noscript iframe svg math object canvas audio video select textarea".split())
+_RAW = frozenset("script style template iframe select textarea".split())
+_TO_THE_END = frozenset("script style".split())
 _CLOSED_BY = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+# possessive, so a tag is read once; a quote that nothing closes is a character like any other
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _END_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 
@@ -58,6 +60,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     linked = total = 0
     in_link = 0
     at, size = 0, len(page)
+    last = page.rfind(">")  # no tag ends behind it
 
     def flush() -> None:
         nonlocal linked, total
@@ -78,8 +81,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                 return
 
     while at < size:
-        tag = _TAG.search(page, at)
-        to = tag.start() if tag else size
+        tag = _TAG.search(page, at) if at <= last else None
+        to = tag.start() if tag else page.find("<!--", at) % (size + 1)  # size if there is none
         if to > at:
             held.append(references.unescape(page[at:to]))
             total += to - at
@@ -102,7 +105,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if name in _RAW:
             if not tag[3].endswith("/"):
                 end = _END_RAW[name].search(page, at)
-                at = end.end() if end else size
+                at = end.end() if end else size if name in _TO_THE_END else at
             held.append(" ")
             continue
         if not inline:
@@ -250,8 +253,12 @@ class Lstm:
         edge = np.concatenate([[0], np.cumsum(sizes)])
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = [k for k in np.argsort(sizes, kind="stable").tolist() if sizes[k]]
-        for i in range(0, len(order), PAGES_AT_ONCE):
-            some = order[i : i + PAGES_AT_ONCE]
+        i = 0
+        while i < len(order):  # STEPS_AT_ONCE padded steps, or one page
+            to = i + 1
+            while to < len(order) and sizes[order[to]] * (to + 1 - i) <= STEPS_AT_ONCE:
+                to += 1
+            some, i = order[i:to], to
             data, mask, _ = _padded([x[edge[k] : edge[k + 1]] for k in some])
             z = self.logits(data, mask)
             for row, k in enumerate(some):
