@@ -16,7 +16,7 @@ class, named by a 64-bit hash of the set, and are joined as one.  The rest runs
 4. A first round of links: each class of the pairs with its least partner, and each class of a tile
    with the tile's probe, the class that shares the most shingles with others, weighed over all its
    tiles: in a family of near copies that is the one closest to the original, which links with
-   nearly all.  Further rounds take probes from what isn't in the probes' components yet, while the pairs
+   nearly all.  Further rounds take PROBES probes a tile from what isn't in its main component yet, while the pairs
    left are many times the tiles' rows and a round settles a tenth of the classes.
 5. What is left: pairs and classes of tiles in different components.  The classes outside their tile's
    main component, if their number is within a limit, are sent to all members of the tiles, which lie
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
@@ -55,6 +55,7 @@ HOT = 1 << 16
 FLUSH = 2_000_000
 SMALL = 16
 FEW, FEW_SENT = 4, 512
+PROBES = 6
 SENT_ROWS = 1_000_000
 EXPAND = 4_000_000
 
@@ -288,6 +289,8 @@ def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda of: classes.select(F.col("cls").alias(of), F.col("n").alias("n" + of), F.col("bits").alias("bits" + of))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
     near = stored(map_arrow(near, by_bits, "a long, b long"), "near")
+    if near.isEmpty():
+        return near
     wanted = stored(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "holder"), "cls"), "wanted")
     sets = stored(_sets(docs, wanted), "sets")
     full = near.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
@@ -333,6 +336,12 @@ def _heaviest(rows: DataFrame) -> DataFrame:
     return head.select("tile", "head.*")
 
 
+def _probes(rows: DataFrame) -> DataFrame:
+    """Each tile's PROBES rows of the classes with the most tiles; partitions keep their own best first."""
+    place = F.row_number().over(Window.partitionBy("tile").orderBy(F.desc("w"), F.desc("cls")))
+    return rows.withColumn("place", place).where(F.col("place") <= PROBES).drop("place")
+
+
 def _across(now: DataFrame, outside: DataFrame) -> DataFrame:
     """Candidates (a, b) of the rows outside of their tile's main component with all rows of the tile."""
     table = outside.select("tile", "cls", "n", "p", "comp").toArrow()  # SENT_ROWS at most
@@ -374,7 +383,7 @@ def _tile_rounds(docs: DataFrame, tiles: DataFrame, classes: DataFrame, labels:
             return labels, None
         few = (work or 0) <= (FEW_SENT if alone <= SENT_ROWS else FEW) * rows
         if not few:
-            probes = _heaviest(outside)
+            probes = _probes(outside)
             near = _tile_side(now, "b").join(_tile_side(probes, "a"), "tile").where("ca != cb and " + _FITS).selectExpr(*_PAIR).distinct()
             links = _links(docs, near, classes)
             before = outside.select("cls").distinct().count()
