@@ -8,27 +8,69 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.raster import upper_median
 
-CELL = 128
+#: Side in pixels of the cells whose nodes are listed; larger nodes are found in cells of 2, 4, 8 ... times that side.
+CELL = 16
+#: Lists of so many nodes in all may be broadcast, so words aren't moved to them.
+BROADCAST_NODES = 1_000_000
 
 
-def _cells(low: Column, high: Column, size: int) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
+def _parts(low: Column, last: Column, level: Column, cell: int) -> Column:
+    """Numbers of the cells of a level from one pixel to another."""
+    side = cell * F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor(low / side), F.floor(last / side))
 
 
-def smallest_enclosing(words: DataFrame, nodes: DataFrame, on: list[str], word_key: list[str], node_order: str, node: list[str], cell: int = CELL) -> DataFrame:
+def listed_nodes(cells: DataFrame, nodes: DataFrame, on: list[str], node_order: str, node: list[str], cell: int = CELL) -> DataFrame:
+    """(on, __cx, __cy, __list) the nodes that may be the smallest around a pixel of each cell, best first.
+
+    A node is dealt to four cells at most of the level that fits its side, and each cell asks one cell of
+    every level.  Nodes larger than the smallest that covers a whole cell can't win there and are left out,
+    and of nodes that cover the same part of a cell only the best stays.  So a list grows with the detail
+    inside its cell and not with the number of nodes upon each other.
+    """
+    b = F.col("node_bounds")
+    solid = nodes.where("node_bounds.width > 0 and node_bounds.height > 0").withColumn("__area", g.area(b))
+    n = solid.groupBy(*on, "node_bounds", "__area").agg(F.max(F.struct(F.col(node_order).alias("o"), F.struct(*node).alias("n"))).alias("__top"))
+    side = F.greatest(b["width"], b["height"])
+    n = n.withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2(side / F.lit(float(cell)))).cast("int")))
+    spread = n.withColumn("__lx", F.explode(_parts(b["x"], g.right(b) - 1, F.col("__level"), cell))).withColumn("__ly", F.explode(_parts(b["y"], g.bottom(b) - 1, F.col("__level"), cell)))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__level")))
+    at = [*on, "__cx", "__cy"]
+
+    def near(asked: DataFrame) -> DataFrame:
+        x, y = F.col("__cx") * cell, F.col("__cy") * cell
+        levels = asked.join(n.select(*on, "__level").distinct(), on).withColumns({"__lx": up("__cx"), "__ly": up("__cy")})
+        pairs = levels.join(spread, [*on, "__level", "__lx", "__ly"])
+        covers = (b["x"] <= x) & (b["y"] <= y) & (g.right(b) >= x + cell) & (g.bottom(b) >= y + cell)
+        return pairs.where((b["x"] < x + cell) & (b["y"] < y + cell) & (g.right(b) > x) & (g.bottom(b) > y)).withColumn("__covers", covers)
+
+    covered = near(cells).where("__covers").groupBy(*at).agg(F.min("__area").alias("__most"))
+    x, y = F.col("__cx") * cell, F.col("__cy") * cell
+    part = F.struct(F.greatest(b["x"], x).alias("x0"), F.greatest(b["y"], y).alias("y0"), F.least(g.right(b), x + cell).alias("x1"), F.least(g.bottom(b), y + cell).alias("y1"))
+    left = near(cells.join(covered, at, "left")).where("__most is null or __area <= __most").withColumn("__part", part)
+    best = left.groupBy(*at, "__part").agg(F.max(F.struct((-F.col("__area")).alias("a"), "__top", "node_bounds")).alias("e"))
+    ranked = F.sort_array(F.collect_list("e"), False)
+    return best.groupBy(*at).agg(F.transform(ranked, lambda e: F.struct(e["__top"]["n"].alias("n"), e["node_bounds"].alias("b"))).alias("__list"))
+
+
+def smallest_enclosing(words: DataFrame, nodes: DataFrame, on: list[str], word_key: list[str], node_order: str, node: list[str], cell: int = CELL, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """Each word (bounds) with the smallest node (node_bounds) that holds its centre.
 
     Of equal areas the node that comes last in ``node_order`` wins; words without a node are left out.
-    Nodes are laid out over grid columns of ``cell`` pixels, which turns the range join into an
-    equi-join of few candidates, and the choice is a partial aggregate.
+    Each word is joined with one row, the list of its cell, and takes the first node that holds it, so no
+    word is ever paired with all the nodes around it.  ``word_key`` comes first in the result.
     """
-    w = words.withColumns({"__x": g.center_x(F.col("bounds")), "__y": g.center_y(F.col("bounds"))}).withColumn("__cell", F.floor(F.col("__x") / cell))
-    n = nodes.where("node_bounds.width > 0").withColumn("__cell", F.explode(_cells(F.col("node_bounds.x"), g.right(F.col("node_bounds")) - 1, cell)))
-    pairs = w.join(n, [*on, "__cell"]).where(g.holds_point(F.col("node_bounds"), F.col("__x"), F.col("__y")))
-    best = F.max_by(F.struct(*node, "node_bounds"), F.struct((-g.area(F.col("node_bounds"))).alias("a"), F.col(node_order)))
+    w = words.withColumns({"__x": g.center_x(F.col("bounds")), "__y": g.center_y(F.col("bounds"))})
+    w = w.withColumns({"__cx": F.floor(F.col("__x") / cell), "__cy": F.floor(F.col("__y") / cell)})
+    at = [*on, "__cx", "__cy"]
+    # kept, as their size is asked for before they are joined
+    lists = listed_nodes(w.select(*at).distinct(), nodes, on, node_order, node, cell).persist()
+    if (lists.agg(F.sum(F.size("__list"))).first()[0] or 0) <= broadcast_nodes:
+        lists = F.broadcast(lists)
+    held = F.filter("__list", lambda e: g.holds_point(e["b"], F.col("__x"), F.col("__y")))
+    found = w.join(lists, at).withColumn("__best", F.get(held, F.lit(0))).where("__best is not null")
     rest = [c for c in words.columns if c not in word_key]
-    # the word's own columns depend on its key
-    return pairs.groupBy(*word_key).agg(best.alias("__best"), *(F.any_value(c).alias(c) for c in rest)).select(*word_key, *rest, "__best.*")
+    return found.select(*word_key, *rest, "__best.n.*", F.col("__best.b").alias("node_bounds"))
 
 
 def line_threshold(heights: Column) -> Column:
