@@ -187,11 +187,13 @@ select image_id, row_number() over (partition by image_id order by node, place)
        kind, content, x, y, width, height from rows""")
 def attach_words_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _held_words(spark, sf_dir)
-    nodes = held.select("image_id", F.array(F.col("node").cast("int")).alias("path"), F.lit("container").alias("kind"), F.col("node_bounds").alias("bounds")).distinct()
-    lines = words.merge_lines(held, ["image_id", "node"])
+    lines = words.merge_lines(held, ["image_id", "node", "node_bounds"])
     place = F.row_number().over(Window.partitionBy("image_id", "node").orderBy("bounds.y", "bounds.x", "line_no")) - 1
-    texts = lines.select("image_id", F.array(F.col("node").cast("int"), place.cast("int")).alias("path"), F.lit("text").alias("kind"), "bounds", F.col("text").alias("content"))
-    both = hierarchy.as_elements(nodes).unionByName(hierarchy.as_elements(texts))
+    # a box comes with its first line, so the words are held and merged once
+    box = F.struct(F.array(F.col("node").cast("int")).alias("path"), F.lit("container").alias("kind"), F.col("node_bounds").alias("bounds"), F.lit(None).cast("string").alias("content"))
+    line = F.struct(F.array(F.col("node").cast("int"), F.col("place")).alias("path"), F.lit("text").alias("kind"), "bounds", F.col("text").alias("content"))
+    placed = lines.withColumn("place", place.cast("int"))
+    both = hierarchy.as_elements(placed.select("image_id", F.explode(F.when(F.col("place") == 0, F.array(box, line)).otherwise(F.array(line))).alias("e")).select("image_id", "e.*"))
     return hierarchy.preorder(both).select("image_id", (F.col("seq") + 1).cast("long").alias("seq"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "kind", "content", *flat("bounds"))
 
 

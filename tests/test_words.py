@@ -43,3 +43,11 @@ def test_a_word_meets_few_of_the_boxes_upon_it(spark):
     many = n.withColumn("node", F.explode(F.sequence(F.col("node"), F.col("node") + 9 * 2000, F.lit(2000))))
     once, tenfold = (words.listed_nodes(cells, x, ["layout"], "node", ["node"], 16).agg(F.sum(F.size("__list")), F.max(F.size("__list"))).first() for x in (n, many))
     assert tuple(once) == tuple(tenfold) and once[1] < 100
+
+
+def test_boxes_and_lines_hold_the_words_once(spark):
+    """The words are numbered and joined once for boxes and lines together."""
+    from paneweave.plans import queries
+
+    plan = queries.attach_words_ordered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number() windowspecdefinition(l_orderkey") == 1
