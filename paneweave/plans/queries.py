@@ -447,7 +447,9 @@ def _screens(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((str(k), 96, 64, gray.tobytes()))
             yield pd.DataFrame(out, columns=["image_id", "width", "height", "gray"])
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "image_id string, width int, height int, gray binary")
+    # a small file of keys stands for much work on images, so it is dealt out to all cores
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
+    return rows.mapInPandas(run, "image_id string, width int, height int, gray binary")
 
 
 @query()

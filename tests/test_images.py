@@ -272,3 +272,11 @@ def test_dump_shows_each_step(spark):
     assert kept.any() and (every | ~kept).all()
     dropped = png.decode(got["07_contours_dropped.png"])
     assert not dropped[:, :, 1:].any() and ((dropped[:, :, 0] > 0) | kept == every).all()
+
+
+def test_screens_are_dealt_out_to_all_cores(spark):
+    from paneweave.plans import queries
+
+    drawn = queries._screens(spark, "/root/testdata/sf0.01")
+    assert spark.read.parquet("/root/testdata/sf0.01/part.parquet").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism <= drawn.rdd.getNumPartitions()
+    assert queries.canny_contours(spark, "/root/testdata/sf0.001").count() > 0
