@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import IconConfig
-from ..functions import vectors as v
+from . import blocks
 from .classify import icon_candidates
 
-#: Rows of an index that may be broadcast; beyond it the index is dealt out in blocks.
+#: Rows of a block of the index, and of queries, at most on average.
+INDEX_BLOCK, QUERY_BLOCK = 5_000, 10_000
 BROADCAST_ROWS = 50_000
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int = 1, min_score: float | None = None, exclude_same: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The ``k`` nearest names of each query by cosine: (query, name, score, rank), ties by name.
 
-    Every query is compared with the whole index.  A small index is broadcast; a larger one is dealt
-    into blocks, each block keeps its own ``k`` best of a query, and these meet in the end.
+    Every query is compared with the whole index, in blocks of queries and of the index: a matrix product
+    finds what comes near a query's ``k`` best of a block, those are added up in the order of ``vectors.dot``,
+    and the ``k`` best of all blocks meet in the end.  ``broadcast_rows`` bounds a block of the index.
     """
     k = max(1, k)
-    size = index.count()
-    blocks = 1 if size <= broadcast_rows else -(-size // broadcast_rows)
-    named = index.select("name", F.col("embedding").alias("__e"), *([F.col(exclude_same).alias("__same")] if exclude_same else []), (F.pmod(F.xxhash64("name"), F.lit(blocks))).alias("__block"))
-    asked = queries.select("query", F.col("embedding").alias("__q"), *([F.col(exclude_same).alias("__own")] if exclude_same else []))
-    if blocks == 1:
-        pairs = asked.join(F.broadcast(named), F.col("__own") != F.col("__same") if exclude_same else F.lit(True))
-    else:
-        asked = asked.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = asked.join(named, "__block")
-        pairs = pairs.where("__own != __same") if exclude_same else pairs
-    scored = pairs.select("query", "name", v.dot(F.col("__q"), F.col("__e")).alias("score"))
+    of = lambda rows, most: max(1, -(-rows.count() // most))
+    n_index, n_asked = of(index, max(1, min(broadcast_rows, INDEX_BLOCK))), of(queries, QUERY_BLOCK)
+    own = lambda name: [F.col(exclude_same).alias(name)] if exclude_same else [F.lit(None).cast("int").alias(name)]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    named = index.select("name", F.col("embedding").cast("array<double>").alias("e"), *own("same"), F.pmod(F.xxhash64("name"), F.lit(n_index)).cast("int").alias("ib"), every(n_asked).alias("qb"))
+    asked = queries.select("query", F.col("embedding").cast("array<double>").alias("q"), *own("own"), F.pmod(F.xxhash64("query"), F.lit(n_asked)).cast("int").alias("qb"), every(n_index).alias("ib"))
+    kinds = f"query {asked.schema['query'].dataType.simpleString()}, name {named.schema['name'].dataType.simpleString()}, score double"
+
+    def best(q: pa.Table, e: pa.Table) -> pa.Table:
+        asked_at, found_at, scores = blocks.best_pairs(q["q"], e["e"], e["name"], q["own"] if exclude_same else None, e["same"], k)
+        return pa.table({"query": q["query"].take(pa.array(asked_at, pa.int64())), "name": e["name"].take(pa.array(found_at, pa.int64())), "score": pa.array(scores, pa.float64())})
+
+    scored = asked.groupBy("qb", "ib").cogroup(named.groupBy("qb", "ib")).applyInArrow(best, kinds)
     scored = scored if min_score is None else scored.where(F.col("score") >= min_score)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
