@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame
 
 from . import bytetext as bt
 from .runtime import map_arrow, some_texts
-from .wordwise import ENCODE_BYTES, Wordwise
+from .wordwise import Wordwise
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 THREADS = 2
+#: Bytes of one block of texts, of which decoding makes arrays of eight times its size, and words remembered by one
+#: worker: two workers stand beside an executor's heap, which is full after earlier stages of a pipeline.
+ENCODE_BYTES, REMEMBERED = 1 << 20, 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -145,7 +148,7 @@ class Codec:
         self.made = made
         table = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.model.pieces]
         sizes = np.array([0 if t == UNKNOWN else len(x) for (_, _, t), x in zip(self.model.pieces, table, strict=True)], np.int64)
-        self.words = Wordwise(lambda words: [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)], sizes, prefix=" " if self.model.dummy_prefix else "")
+        self.words = Wordwise(lambda words: [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)], sizes, prefix=" " if self.model.dummy_prefix else "", remembered=REMEMBERED)
         self._bytes = np.frombuffer(b"".join(table), np.uint8)
         self._size = np.fromiter(map(len, table), np.int64, len(table))
         self._start = np.cumsum(self._size) - self._size

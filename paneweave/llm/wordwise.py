@@ -61,11 +61,12 @@ class Wordwise:
     """Encodes blocks of texts.
 
     ``encode`` gives the ids of each of a list of strings, ``bytes_of`` the number of text bytes that
-    each id stands for (0 where it depends on the text).
+    each id stands for (0 where it depends on the text).  No more than ``remembered`` stretches are kept,
+    or those of one block.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bytes_of: np.ndarray, prefix: str = "", punctuation: bool = False):
-        self.encode, self.bytes_of, self.prefix, self.punctuation = encode, bytes_of, prefix, punctuation
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bytes_of: np.ndarray, prefix: str = "", punctuation: bool = False, remembered: int = REMEMBERED):
+        self.encode, self.bytes_of, self.prefix, self.punctuation, self.remembered = encode, bytes_of, prefix, punctuation, remembered
         self._forget()
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,7 @@ class Wordwise:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _look_up(self, words: list[str]) -> np.ndarray:
-        if len(self.known) + len(words) > REMEMBERED:
+        if len(self.known) + len(words) > self.remembered:
             self._forget()
         known = self.known
         fresh = list(dict.fromkeys(w for w in words if w not in known))  # with a prefix a word may come twice
