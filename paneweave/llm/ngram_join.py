@@ -21,7 +21,8 @@ class, named by a 64-bit hash of the set, and are joined as one.  The rest runs
 5. What is left: pairs and classes of tiles in different components.  The classes outside their tile's
    main component, if their number is within a limit, are sent to all members of the tiles, which lie
    together by class, so a pair is made once however many tiles it shares; beyond the limit they are
-   joined by tile.
+   joined by tile.  Within a further limit their bitmaps are sent too, so only pairs that may link are made:
+   first PICKED of each member, and after these have joined their components all that still lie between two.
 6. A pair is compared first by hashed bitmaps of BITS parity bits: the bits that differ bound the
    difference from below and so the overlap from above.  Those that pass are compared by exact
    intersection of the sorted arrays, and links are united to components.
@@ -57,6 +58,8 @@ SMALL = 16
 FEW, FEW_SENT = 4, 512
 PROBES = 6
 SENT_ROWS = 1_000_000
+SENT_BITMAPS = 1 << 16
+PICKED = 4
 EXPAND = 4_000_000
 
 
@@ -342,11 +345,36 @@ def _probes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= PROBES).drop("place")
 
 
-def _across(now: DataFrame, outside: DataFrame) -> DataFrame:
-    """Candidates (a, b) of the rows outside of their tile's main component with all rows of the tile."""
+def _across(now: DataFrame, outside: DataFrame, classes: DataFrame, picked: int | None = None) -> DataFrame | None:
+    """Candidates (a, b) of the rows outside of their tile's main component with all rows of the tile.
+
+    With the bitmaps of the classes outside, SENT_BITMAPS at most, only those that may link; ``picked``: so many
+    of each class, or None if there are too many to send.
+    """
+    spark = now.sparkSession
+    names = outside.select("cls").distinct().join(classes.select("cls", "bits"), "cls")
+    few = names.count() <= SENT_BITMAPS
+    if picked and not few:
+        return None
     table = outside.select("tile", "cls", "n", "p", "comp").toArrow()  # SENT_ROWS at most
     sent = np.stack([c.to_numpy().astype(np.int64) for c in table.columns], 1)
-    sent = now.sparkSession.sparkContext.broadcast(sent[np.argsort(sent[:, 0], kind="stable")])
+    sent = sent[np.argsort(sent[:, 0], kind="stable")]
+    bitmaps = np.zeros((0, BITS // 64), np.uint64)
+    if few and len(sent):
+        table = names.toArrow().sort_by("cls")
+        bitmaps = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(table), -1)
+        sent = np.concatenate([sent, np.searchsorted(table["cls"].to_numpy(), sent[:, 1])[:, None]], 1)
+    sent, bitmaps = spark.sparkContext.broadcast(sent), spark.sparkContext.broadcast(bitmaps)
+
+    def may_link(mine: np.ndarray, other: np.ndarray, n_mine: np.ndarray, n_other: np.ndarray, bits: pa.Array) -> np.ndarray:
+        out = np.zeros(len(mine), bool)
+        for at in range(0, len(mine), 16384):
+            part = slice(at, at + 16384)
+            rows, back = np.unique(mine[part], return_inverse=True)
+            x = np.frombuffer(b"".join(bits.take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1)[back]
+            bound = bitmap_bound(x, bitmaps.value[other[part]], n_mine[part], n_other[part])
+            out[part] = _meets(np.minimum(bound, np.minimum(n_mine[part], n_other[part])), n_mine[part], n_other[part])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = sent.value
@@ -354,22 +382,42 @@ def _across(now: DataFrame, outside: DataFrame) -> DataFrame:
             tile, cls, n, p, comp = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
             begin, end = np.searchsorted(x[:, 0], tile, "left"), np.searchsorted(x[:, 0], tile, "right")
             total = np.cumsum(end - begin)
-            at, found = 0, []
+            at, found = 0, [np.zeros((0, 4), np.int64)]
             while at < len(tile):
                 to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + EXPAND, "right")))
                 many = (end - begin)[at:to]
                 row = np.repeat(np.arange(at, to), many)
                 other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[at:to], many)
                 good = (cls[row] != x[other, 1]) & (comp[row] != x[other, 4]) & _fits(n[row], p[row], x[other, 2], x[other, 3])
-                found.append(np.unique(np.stack([np.minimum(cls[row[good]], x[other[good], 1]), np.maximum(cls[row[good]], x[other[good], 1])], 1), axis=0))
+                row, other = row[good], other[good]
+                _, once = np.unique(np.stack([cls[row], x[other, 1]], 1), axis=0, return_index=True)
+                found.append(np.stack([cls[row[once]], x[other[once], 1], row[once], other[once]], 1))
                 at = to
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            pairs = np.concatenate(found)
+            pairs = pairs[np.unique(pairs[:, :2], axis=0, return_index=True)[1]]
+            if few and len(pairs):
+                row, other = pairs[:, 2], pairs[:, 3]
+                pairs = pairs[may_link(row, x[other, 5], n[row], x[other, 2], batch.column(5))]
+            if picked and len(pairs):
+                chance = bt.mix(pairs[:, 0].view(np.uint64) ^ bt.mix(np.ascontiguousarray(pairs[:, 1]).view(np.uint64)))
+                pairs = pairs[np.lexsort((chance, pairs[:, 0]))]
+                first = np.searchsorted(pairs[:, 0], pairs[:, 0], "left")
+                pairs = pairs[np.arange(len(pairs)) - first < picked]
+            pairs = np.unique(np.sort(pairs[:, :2], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
     rows = now.select("tile", "cls", "n", "p", "comp")
+    if few:
+        rows = rows.join(classes.select("cls", "bits"), "cls").select("tile", "cls", "n", "p", "comp", "bits")
     return map_arrow(rows.repartition("cls").sortWithinPartitions("cls"), run, "a long, b long")
 
 
+def _placed(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with their component and their tile's main one."""
+    now = _with_comp(tiles, labels, "cls", "comp")
+    return stored(now.join(_heaviest(now).select("tile", F.col("comp").alias("main")), "tile"), "tiles")
+
+
 def _tile_rounds(docs: DataFrame, tiles: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Labels after the rounds of probes, and the candidates (a, b) that are left in tiles."""
     while True:
@@ -396,12 +444,18 @@ def _tile_rounds(docs: DataFrame, tiles: DataFrame, classes: DataFrame, labels:
                 tiles = stored(tiles, "tiles")
                 discard(now)
                 continue
-            now = _with_comp(tiles, labels, "cls", "comp").join(_heaviest(_with_comp(tiles, labels, "cls", "comp")).select("tile", F.col("comp").alias("main")), "tile")
-            now = stored(now, "tiles")
+            now = _placed(tiles, labels)
             outside = now.where("comp != main")
             alone = outside.count()
         if alone <= SENT_ROWS:
-            left = _across(now, outside)
+            if (some := _across(now, outside, classes, PICKED)) is not None:
+                links = _links(docs, some.distinct(), classes)
+                labels = _relabel(labels, links)
+                discard(links)
+                before, now = now, _placed(now.select("tile", "cls", "n", "p", "w"), labels)
+                discard(before)
+                outside = now.where("comp != main")
+            left = _across(now, outside, classes)
         else:
             left = _tile_side(now, "b").join(_tile_side(outside, "a"), "tile").where("ca != cb and " + _FITS).selectExpr(*_PAIR)
         return labels, left.distinct()
